@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, sharding, simhash, tokens
+from . import bpe, gam, jpeg, sharding, simhash, tokens
 from .common import whole_text
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,12 +60,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0, cut=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_media_columns": op6_media_columns,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_quality_gam": op9_quality_gam,
 }
 
 ORACLES: dict[str, str] = {
