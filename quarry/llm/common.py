@@ -131,7 +131,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
 def window_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     """Hashes of all windows of `length` consecutive entries, by doubling:
     a window of 2l is two neighbours of l. The last ones run over the end."""
-    base = U64(_BASES[lane])
+    base = _BASES[lane]
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -140,13 +140,13 @@ def window_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     rest = length
     while rest:
         if rest & 1:
-            out = out * power + pieces[have : have + n]
+            out = out * U64(power) + pieces[have : have + n]
             have += size
         rest >>= 1
         if rest:
-            pieces = pieces[:-size] * power + pieces[size:]
+            pieces = pieces[:-size] * U64(power) + pieces[size:]
             size *= 2
-            power = power * power
+            power = power * power & (1 << 64) - 1
     return mix(out)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, jpeg, sharding, simhash, tokens
+from . import bpe, gam, jpeg, sharding, simhash, substrings, tokens
 from .common import whole_text
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.store_texts(table(spark, sf_dir, "documents"))
     read = jpeg.read_media(stored, keep=("doc_id", "n_bytes", "media"))
@@ -67,6 +72,7 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_bpe_round_trip": op8_bpe_round_trip,
