@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, jpeg, sharding, simhash, substrings, tokens
+from . import bpe, gam, jpeg, lm, sharding, simhash, substrings, tokens
 from .common import whole_text
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0, cut=0.3)
 
 
+def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_quality_gam": op9_quality_gam,
+    "op10_gru_language_model": op10_gru_language_model,
 }
 
 ORACLES: dict[str, str] = {
