@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, jpeg, lm, sharding, simhash, substrings, tokens
+from . import bpe, decontaminate, gam, jpeg, lm, sharding, simhash, substrings, tokens
 from .common import whole_text
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=64, tau=2)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -37,8 +41,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.store_texts(table(spark, sf_dir, "documents"))
     read = jpeg.read_media(stored, keep=("doc_id", "n_bytes", "media"))
-    feature = F.format_string("%dx%d:%d:%s", "width", "height", "frames", "thumbnail_hash")
-    return jpeg.digest_columns(read.withColumn("feature", feature))
+    payload = F.col("thumbnail")
+    return read.select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.format_string("%dx%d:%d:%s", "width", "height", "frames", "thumbnail_hash").alias("feature"),
+    )
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +81,7 @@ def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
