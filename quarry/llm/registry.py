@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gam, jpeg, lm, sharding, simhash, substrings, tokens
-from .common import whole_text
+from . import bpe, decontaminate, gam, jpeg, lm, sharding, simhash, substrings, tokens, warc
+from .common import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
 SHARD_BYTES = 32 << 20
@@ -28,6 +28,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, least=0)
+    return warc.read_archive(spark, path)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -83,6 +89,7 @@ def op10_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_warc_capture_index": op3_warc_capture_index,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_media_columns": op6_media_columns,
