@@ -196,15 +196,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     cols = [id_col, *keep]
+    read = text_col if text_col in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                values = sent.value.scores(features(part.column("_text")))
+            for part in slices(batch, read):
+                values = sent.value.scores(features(part.column(read)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(values)], [*cols, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", score double"
-    return docs.select(*cols, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*cols, *([] if read == text_col else [whole_text(text_col).alias("_text")])).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, cut: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
