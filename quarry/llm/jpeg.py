@@ -12,9 +12,7 @@ of block has one: 10 bits a block, and a row of 64 blocks is a restart interval.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +26,8 @@ from .common import buffers, slices, whole_text
 ROW = 64
 #: Block rows of a frame: a JPEG has 65,535 lines at most. Longer payloads take several frames.
 FRAME_ROWS = 8191
+#: Bytes that a worker codes at a time; numpy needs some forty times as many for a moment.
+PORTION = 1 << 20
 
 
 # -- writing -------------------------------------------------------------------
@@ -368,7 +368,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PORTION):
                 data, offsets = buffers(part.column("_text"))
                 media = write_payloads(*pad(data, offsets))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
@@ -411,7 +411,7 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_media"):
+            for part in slices(batch, "_media", PORTION):
                 read = read_many([x or b"" for x in part.column("_media").to_pylist()])
                 rows = []
                 for found in read:
@@ -426,21 +426,3 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
 
     return df.select(*keep, F.col(media_col).alias("_media")).mapInArrow(run, f"{fields}, {MEDIA_FIELDS}")
 
-
-def digest_columns(df: DataFrame) -> DataFrame:
-    """Digests of thumbnails that are stored payloads."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payload, media = batch.column("thumbnail").to_pylist(), batch.column("media").to_pylist()
-            hexes = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(x) for x in payload], pa.int64()), hexes(payload), pa.array([zlib.crc32(x[-64:]) for x in payload], pa.int64()),
-                    pa.array([len(x) for x in media], pa.int64()), hexes(media), batch.column("feature"),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select("doc_id", "n_bytes", "thumbnail", "media", "feature").mapInArrow(run, schema)
