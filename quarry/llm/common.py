@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into numpy arrays at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -47,6 +47,28 @@ def remainder(column: str, mod: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
+    """The rows of the largest counts, `most` at the utmost: those over a threshold
+    from a histogram in eighths of a doubling, so the driver sees 512 rows."""
+    bins = F.floor(F.log2(F.col(n_col)) * 8).cast("int")
+    total, low = 0, 1 << 20
+    for r in sorted(counts.groupBy(bins.alias("b")).count().collect(), key=lambda r: -r.b):
+        if total + r["count"] > most:
+            break
+        total, low = total + r["count"], r.b
+    return counts.filter(bins >= low)
+
+
+def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """All rows, or of more than `most` an even share by a hash of the id; `most` at
+    the utmost."""
+    n = df.count()
+    if n <= most:
+        return df
+    even = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
+    return df.filter(even < int((1 << 30) * 0.97 * most / n)).limit(most)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (nulls are empty) and its offsets, len + 1."""
     if isinstance(column, pa.ChunkedArray):

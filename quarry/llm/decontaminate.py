@@ -32,6 +32,8 @@ WALKS, SAMPLED, RECALL = 4, 3, 0.99
 CHANGED = 0.6
 #: Bytes of item texts that are broadcast at a time; a larger benchmark takes several passes.
 ITEM_BYTES = 32 << 20
+#: Bytes of text that a worker searches at a time.
+PORTION = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -276,7 +278,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
             for batch in batches:
-                for part in slices(batch, "_text"):
+                for part in slices(batch, "_text", PORTION):
                     found = find(known, part.column("_text"))
                     if found:
                         r, i, d, s, n = zip(*found)

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, remainder, slices, whole_text, word_hashes, word_spans
+from .common import bounded_sample, buffers, remainder, slices, whole_text, word_hashes, word_spans
 
-#: Labelled rows that a fit takes at most, those of the least hash: the bound on
-#: what reaches the driver.
+#: Labelled rows that a fit takes at most, an even share by a hash of their id: the
+#: bound on what reaches the driver.
 TRAINING_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
 CYCLES, PAIR_CYCLES, RATE = 120, 40, 0.15
@@ -172,11 +172,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `most` labelled documents outside the held-out
-    fold, those of the least hash of their id. A document labelled twice takes the
+    fold, an even share by a hash of their id. A document labelled twice takes the
     larger label; null labels and ids are left out."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held_out))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = bounded_sample(own, "doc_id", most)
     rows = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(own), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 24
-CLASSES = 40
-BUCKETS = 32
+HIDDEN = 16
+CLASSES = 30
+BUCKETS = 16
 
 
 @dataclass
@@ -65,49 +65,28 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def lanes(tokens: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in lanes, longest lane first. Token targets (-1 where a lane has
-    ended), whether a text starts there, and each target's place in the
-    concatenation of all texts; all are (steps, lanes)."""
-    sizes = np.array([len(t) for t in tokens], np.int64)
+def lanes(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the texts, lane after lane, and the lanes' tokens, longest first."""
     order = np.argsort(-sizes, kind="stable")
-    n = min(most, len(tokens))
-    load, lane_of = np.zeros(n, np.int64), np.empty(len(tokens), np.int64)
-    if len(tokens) > n:  # the longest one each, then evenly by the running total
+    n = min(most, len(sizes))
+    lane_of = np.empty(len(sizes), np.int64)
+    lane_of[order[:n]] = np.arange(n)
+    if len(sizes) > n:  # the longest one each, the rest evenly by the running total
+        load = sizes[order[:n]]
         rest = order[n:]
-        load = sizes[order[:n]].copy()
-        lane_of[order[:n]] = np.arange(n)
-        target = max(int(load.max()), -(-int(sizes.sum()) // n))
-        room = np.maximum(0, target - load)
-        mid = np.cumsum(sizes[rest]) - sizes[rest] / 2
-        lane_of[rest] = np.minimum(np.searchsorted(np.cumsum(room), mid, "right"), n - 1)
-    else:
-        lane_of[order] = np.arange(n)
+        room = np.cumsum(np.maximum(0, max(int(load.max()), -(-int(sizes.sum()) // n)) - load))
+        middle = np.cumsum(sizes[rest]) - sizes[rest] / 2
+        lane_of[rest] = np.minimum(np.searchsorted(room * (sizes[rest].sum() / max(room[-1], 1)), middle, "right"), n - 1)
     load = np.bincount(lane_of, sizes, n).astype(np.int64)
     rank = np.empty(n, np.int64)
     rank[np.argsort(-load, kind="stable")] = np.arange(n)
-    lane_of = rank[lane_of]
-    by_lane = np.argsort(lane_of, kind="stable")
-    begin = np.cumsum(sizes) - sizes
-    steps = int(load.max()) if n else 0
-    target = np.full((steps, n), -1, np.int32)
-    start = np.zeros((steps, n), bool)
-    place = np.full((steps, n), -1, np.int64)
-    at = np.zeros(n, np.int64)
-    for i in by_lane.tolist():
-        k, s = lane_of[i], sizes[i]
-        a = at[k]
-        target[a : a + s, k] = tokens[i]
-        start[a, k] = True
-        place[a : a + s, k] = np.arange(begin[i], begin[i] + s)
-        at[k] += s
-    return target, start, place
+    return np.argsort(rank[lane_of], kind="stable"), np.sort(load)[::-1]
 
 
 class Network:
-    def __init__(self, lay: Layout, params: dict[str, np.ndarray]):
+    def __init__(self, lay: Layout, params: dict[str, np.ndarray], sums: dict[str, np.ndarray] | None = None):
         self.lay, self.p, self.class_of = lay, params, lay.class_of()
-        self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in params.items()}
+        self.sums = sums or {k: np.full(v.shape, 1e-6, np.float32) for k, v in params.items()}
 
     # -- forward -------------------------------------------------------------
 
@@ -169,20 +148,28 @@ class Network:
         return logp, dh, grads
 
     def _windows(self, tokens: list[np.ndarray], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Inputs, starts, targets and places of each window, and the lanes' states,
-        which the caller replaces in place. Lanes that have ended drop out."""
-        target, start, place = lanes(tokens, most)
-        live = (target >= 0).sum(0)
-        h = np.zeros((target.shape[1], HIDDEN), np.float32)
-        for a in range(0, len(target), width):
-            n = int(np.searchsorted(-live, -a, "left"))
-            y, s = target[a : a + width, :n], start[a : a + width, :n]
-            x = np.zeros_like(y)
-            x[1:] = y[:-1]
-            if a:
-                x[0] = target[a - 1, :n]
-            x[s] = 0
-            yield np.maximum(x, 0), s, y, place[a : a + width, :n], h[:n]
+        """Inputs, starts, targets (-1: none) and places of each window, and the lanes'
+        states, which the caller replaces in place. Lanes that have ended drop out."""
+        if not tokens:
+            return
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        order, load = lanes(sizes, most)
+        flat = np.concatenate([tokens[i] for i in order.tolist()])
+        first = np.cumsum(sizes[order]) - sizes[order]
+        begin = (np.cumsum(sizes) - sizes)[order]
+        place = np.arange(len(flat)) + np.repeat(begin - first, sizes[order])
+        starts = np.zeros(len(flat), bool)
+        starts[first] = True
+        given = np.concatenate([[0], flat[:-1]])
+        given[starts] = 0
+        lane = np.cumsum(load) - load
+        h = np.zeros((len(load), HIDDEN), np.float32)
+        for a in range(0, int(load[0]), width):
+            n = int(np.searchsorted(-load, -a, "left"))
+            step = a + np.arange(min(width, int(load[0]) - a))[:, None]
+            inside = step < load[:n]
+            at = np.where(inside, lane[:n] + step, 0)
+            yield given[at], starts[at] & inside, np.where(inside, flat[at], -1), place[at], h[:n]
 
     def log_probabilities(self, tokens: list[np.ndarray], width: int = 32, most: int = 1024) -> np.ndarray:
         """Natural log-probability of every token, of its class only for a bucket."""
@@ -212,7 +199,8 @@ class Network:
             back[have] = dh
             self._back(x, s, back, tape, grads)
             learnt += int(have.sum())
-            self._update(grads, max(1, int(have.sum())), rate)
+            # by the same number in all windows: the few lanes of a long text's end count little
+            self._update(grads, width * min(most, len(tokens)), rate)
         return learnt
 
     def _back(self, x: np.ndarray, start: np.ndarray, back: np.ndarray, tape: list, grads: dict[str, np.ndarray]) -> None:

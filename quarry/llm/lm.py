@@ -8,10 +8,10 @@ own texts, and the tasks' parameters are averaged slice by slice.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,23 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import buffers, cut, remainder, slices, whole_text
+from .common import bounded_sample, buffers, cut, most_frequent, remainder, slices, whole_text
 
 #: Words with outputs of their own, and those whose counts are broadcast.
-OUTPUT_WORDS, FREQUENT = 2_000, 150_000
+OUTPUT_WORDS, FREQUENT = 1_000, 100_000
 #: Words longer than this are never broadcast, so the table's size is bounded.
 LONGEST = 64
-#: Texts from which the network starts: those of the least hash of their id.
+#: Texts from which the network starts, and the bytes of each at most.
 WARM_TEXTS, WARM_BYTES = 600, 20_000
 #: One window in so many is learnt from in the pass over all training texts.
 EVERY = 4
 SLICES = 64
 #: Distinct words that a task gathers before it sends their counts; bytes of text that a network takes at a time.
-GATHERED, TOGETHER = 400_000, 12 << 20
+GATHERED, TOGETHER = 300_000, 8 << 20
 
 
 def bucket(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % gru.BUCKETS
+    """A rare word's bucket: by its last byte, which tells languages apart."""
+    return word[-1] % gru.BUCKETS
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -73,19 +74,21 @@ class Vocabulary:
     distinct: int
 
     def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Tokens with the end; places of the words in the table (-1: not in it); all words."""
+        """Tokens with the end; places of the words in the table (-1: not in it), and
+        the words that are not in it."""
         words = text.lower().split()
-        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         out = np.zeros(len(words) + 1, np.int32)
         out[:-1] = self.token[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            out[i] = self.lay.n_words + 1 + bucket(words[i])
-        return out, at, words
+        missed = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+        out[:-1][at < 0] = [bucket(w) for w in missed]
+        out[:-1][at < 0] += self.lay.n_words + 1
+        return out, at, missed
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From counts of all words; only FREQUENT words and BUCKETS sums are collected."""
-    top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = most_frequent(counts.filter(F.octet_length("word") <= LONGEST), "n", FREQUENT).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, n = [bytes(w) for w in top.word], top.n.to_numpy(np.int64)
     own = words[:OUTPUT_WORDS]
     skip = set(own)
@@ -133,18 +136,18 @@ def train(texts: DataFrame, voc: Vocabulary) -> np.ndarray:
     texts, task by task, averaged by the tokens learnt from. The vectors are cut
     into slices, so no task and not the driver holds those of all tasks."""
     spark = texts.sparkSession
-    start = gru.init(voc.lay, voc.counts, voc.bucket_size)
-    warm = texts.filter(F.octet_length("_text") <= WARM_BYTES).orderBy(F.xxhash64("_order"), "_order").limit(WARM_TEXTS).select("_text").toPandas()
+    net = gru.Network(voc.lay, gru.init(voc.lay, voc.counts, voc.bucket_size))
+    warm = bounded_sample(texts.filter(F.octet_length("_text") <= WARM_BYTES), "_order", WARM_TEXTS).select("_text").toPandas()
     if len(warm):
-        net = gru.Network(voc.lay, start)
         tokens = [voc.tokens(t.encode("utf-8"))[0] for t in warm._text]
         for _ in range(2):
             net.learn(tokens, 1, most=128)
-    sent = spark.sparkContext.broadcast((voc, gru.pack(start)))
+    # the tasks take over the step sizes as well
+    sent = spark.sparkContext.broadcast((voc, gru.pack(net.p), gru.pack(net.sums)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = sent.value
-        net, n = gru.Network(voc.lay, unpack_like(flat, voc)), 0
+        voc, flat, sums = sent.value
+        net, n = gru.Network(voc.lay, unpack_like(flat, voc), unpack_like(sums, voc)), 0
         for batch in _together(batches):
             n += net.learn([voc.tokens(t)[0] for t in _texts(batch)], EVERY)
         if n:
@@ -158,7 +161,7 @@ def train(texts: DataFrame, voc: Vocabulary) -> np.ndarray:
         return pd.DataFrame({"slice": rows.slice.iloc[:1], "part": [(total / rows.weight.sum()).astype(np.float32).tobytes()]})
 
     got = texts.select("_text").mapInArrow(run, "slice int, weight double, part binary").groupBy("slice").applyInPandas(mean, "slice int, part binary").toPandas().sort_values("slice")
-    return np.frombuffer(b"".join(bytes(p) for p in got.part), np.float32) if len(got) else gru.pack(start)
+    return np.frombuffer(b"".join(bytes(p) for p in got.part), np.float32) if len(got) else gru.pack(net.p)
 
 
 def unpack_like(flat: np.ndarray, voc: Vocabulary) -> dict[str, np.ndarray]:
@@ -195,12 +198,12 @@ def score_texts(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
             tokens = [f[0] for f in found]
             logs = net.log_probabilities(tokens) / np.log(10)
             out, a = [], 0
-            for ids, at, words in found:
+            for ids, at, missing in found:
                 in_table = at >= 0
                 base = log_count[at[in_table]].sum() + np.log10(voc.ends + 1.0)
                 rest = ids > voc.lay.n_words
                 model = logs[a : a + len(ids)].sum() - log_bucket[ids[rest] - voc.lay.n_words - 1].sum() + log_count[at[rest[:-1] & in_table]].sum()
-                missed = Counter(words[i] for i in np.flatnonzero(~in_table).tolist())
+                missed = Counter(missing)
                 out.append((len(ids), int(in_table.sum()) + (voc.ends > 0), base, model, [{"word": w, "n": n} for w, n in missed.items()]))
                 a += len(ids)
             n, known, base, model, missed = zip(*out)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import cut, most_frequent, slices, whole_text
 
 #: Entries of the broadcast table: a bound on its size at any input.
 FREQUENT = 50_000
@@ -94,8 +94,8 @@ def frequent_pretokens(df: DataFrame, text_col: str = "text", most: int = FREQUE
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     summaries = df.select(whole_text(text_col).alias("_text")).mapInArrow(run, "word binary, n long")
-    rows = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r.word) for r in rows]
+    counts = cut(summaries.groupBy("word").agg(F.sum("n").alias("n")))
+    return [bytes(r.word) for r in most_frequent(counts, "n", most).collect()]
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
