@@ -81,14 +81,16 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 
 
 def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64).reshape(len(rows), -1)
+    x = np.array(rows, np.float64).reshape(len(rows), -1 if rows else 0)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def top_k_columns(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, on: tuple[str, ...] = (), query_id: str = "query_id", vector_id: str = "chunk_id", query_vec: str = "query_embedding", vector_vec: str = "embedding", digits: int = 5) -> DataFrame:
+def top_k_columns(queries: DataFrame, vectors: DataFrame, on: tuple[str, ...], k: int = TOP_K, query_id: str = "query_id", vector_id: str = "chunk_id", query_vec: str = "query_embedding", vector_vec: str = "embedding", digits: int = 5) -> DataFrame:
     """As top_k(), within rows that agree in `on`, by built-in functions alone: an
     equi-join, and a window of which each task keeps k rows a query beforehand."""
+    if not on:
+        raise ValueError("without columns to agree in, use top_k()")
     pairs = vectors.select(vector_id, vector_vec, *on).join(queries.select(query_id, query_vec, *on), list(on))
     pairs = pairs.select(query_id, vector_id, F.round(cosine(F.col(query_vec), F.col(vector_vec)), digits).alias("similarity"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), vector_id)
