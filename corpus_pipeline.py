@@ -23,12 +23,20 @@ SUBSTRING_WORDS = 20
 QUALITY_CUT = 0.3
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
+    """The documents with other columns than id and text under names that no operator
+    uses, these names, and the way back."""
+    names = {c: c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)}
+    back = {v: k for k, v in names.items()}
+    return docs.toDF(*names.values()), tuple(v for k, v in names.items() if k not in ("doc_id", "text")), back
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = gam.classify(docs, labels, "quality", cut=QUALITY_CUT, keep=others)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    plain, others, back = aside(docs)
+    scored = gam.classify(plain, labels, "quality", cut=QUALITY_CUT, keep=("text", *others))
+    return scored.filter("predicted = 1").select(*plain.columns).toDF(*(back[c] for c in plain.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +50,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur earlier; what has no words left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substrings.dedup_substrings(docs, SUBSTRING_WORDS, keep=others, as_is=True)
-    out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    plain, others, back = aside(docs)
+    out = substrings.dedup_substrings(plain, SUBSTRING_WORDS, keep=others, as_is=True)
+    out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumnRenamed("kept", "text")
+    out = out.select(*plain.columns).toDF(*(back[c] for c in plain.columns))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,5 +301,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns; rows of a null id
     go if any of them holds one."""
-    bad = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leaked")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__leaked"]), "left_anti")
