@@ -3,7 +3,7 @@
 Level one finds repeated windows of half the length: each window of the full
 length is stood for by the least hash among the half-length windows in it, so
 that equal windows choose alike and few hashes are shuffled. Only windows whose
-half-length window repeats are extended to the full length, hashed to 128 bits
+half-length window repeats are extended to the full length, hashed to 96 bits
 and held against the first document that has them.
 
 Tasks settle what repeats among their own rows and send one row for each hash,
@@ -63,12 +63,12 @@ class Windows:
         return least, chosen, pieces
 
 
-def _identity(id_col: str, text_col: str) -> list[F.Column]:
+def _identity(id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> list[F.Column]:
     """Rows of one id and one text are one document; documents go by id, nulls
     first, then by a hash of the text."""
     text = whole_text(text_col)
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return [F.col(id_col).alias("id"), order.alias("ord"), F.xxhash64(F.lit(7), text).alias("key"), text.alias("_text")]
+    return [F.col(id_col).alias("id"), *keep, order.alias("ord"), F.xxhash64(F.lit(7), text).alias("key"), text.alias("_text")]
 
 
 class _Seen:
@@ -123,10 +123,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         distinct = np.ones(len(k), bool)
         distinct[1:] = (k[1:] != k[:-1]) | (kd[1:] != kd[:-1])
         whose, many = _lists(kd[distinct], k[distinct])
-        slots = np.concatenate([h[new].view(np.int64), mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64))).view(np.int64)])
-        who = np.concatenate([d[new], whose])
+        # rows of a document one after another: shuffled blocks compress far better
+        one = np.flatnonzero(new)
+        one = one[np.argsort(d[one], kind="stable")]
+        slots = np.concatenate([h[one].view(np.int64), mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64))).view(np.int64)])
+        who = np.concatenate([d[one], whose])
         return pa.RecordBatch.from_arrays(
-            [pa.array(slots), pa.array(ords[who]), pa.array(keys[who]), pa.array(np.concatenate([size > 1, np.zeros(len(whose), bool)])), pa.array([None] * int(new.sum()) + many, pa.binary())],
+            [pa.array(slots), pa.array(ords[who]), pa.array(keys[who]), pa.array(np.concatenate([repeated[one], np.zeros(len(whose), bool)])), pa.array([None] * len(one) + many, pa.binary())],
             ["slot", "ord", "key", "twice", "many"],
         )
 
@@ -148,7 +151,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield send()
 
 
-_WINDOW_ROWS = "h1 long, h2 long, ord long, key long, at int, many binary"
+#: `rest` has 32 more bits of the hash above the window's place, so rows stay short.
+_WINDOW_ROWS = "h1 long, rest long, ord long, key long, many binary"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -157,6 +161,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
     def send() -> pa.RecordBatch:
         h1, h2, d, at = (np.concatenate(x) for x in zip(*gathered))
+        h2 = h2 >> np.uint64(32)
         ords, keys = seen.identities()
         rank = np.empty(len(ords), np.int64)
         rank[np.lexsort((keys, ords))] = np.arange(len(ords))
@@ -168,14 +173,14 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         order = np.lexsort((whose_at, later))
         whose, many = _lists(later[order], whose_at[order].astype(np.int32))
         own = mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64)))
-        who = np.concatenate([d[new], whose])
+        one = np.flatnonzero(new)
+        one = one[np.lexsort((at[one], d[one]))]
+        who = np.concatenate([d[one], whose])
+        rest = h2[one] << np.uint64(32) | at[one].astype(np.uint64)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h1[new], own]).view(np.int64)), pa.array(np.concatenate([h2[new], own]).view(np.int64)), pa.array(ords[who]), pa.array(keys[who]),
-                pa.array(np.concatenate([at[new], np.zeros(len(whose), np.int64)]).astype(np.int32)), pa.array([None] * int(new.sum()) + many, pa.binary()),
-            ],
-            ["h1", "h2", "ord", "key", "at", "many"],
-        )
+            [pa.array(np.concatenate([h1[one], own]).view(np.int64)), pa.array(np.concatenate([rest, own]).view(np.int64)), pa.array(ords[who]), pa.array(keys[who]), pa.array([None] * len(one) + many, pa.binary())],
+            ["h1", "rest", "ord", "key", "many"],
+        )
 
     for batch in batches:
         for part in slices(batch, "_text"):
@@ -200,7 +205,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield send()
 
 
-def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], length: int, keep: tuple[str, ...], as_is: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "_text"):
             texts, lists = part.column("_text").cast(pa.binary()).to_pylist(), part.column("removed").to_pylist()
@@ -210,7 +215,7 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 total.append(len(words))
                 if not at:
                     gone.append(0)
-                    kept.append(b" ".join(words))
+                    kept.append(text if as_is else b" ".join(words))
                     continue
                 starts = np.unique(np.frombuffer(b"".join(at), np.int32))
                 edge = np.zeros(len(words) + 1, np.int32)
@@ -219,35 +224,40 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 covered = np.cumsum(edge)[:-1] > 0
                 gone.append(int(covered.sum()))
                 kept.append(b" ".join([w for w, c in zip(words, covered.tolist()) if not c]))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(c) for c in keep), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", *keep, "n_words", "n_removed", "kept"])
 
 
-def dedup_substrings(df: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words long, n_removed long, kept string) of every row.
+def dedup_substrings(df: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """(id, columns of `keep`, n_words long, n_removed long, kept string) of every row.
 
     Removes the words of every window of `length` words that also starts earlier:
     in a document of smaller id, or further up in the same one; windows are
-    judged on the input. Kept words are joined by one space. Null texts have no
+    judged on the input. Kept words are joined by one space; with `as_is` a
+    text that loses nothing stays as it is. Null texts have no
     words; a null id counts as the smallest; rows of one id are ordered by a hash
     of the text, those of one id and one text are one document and share a
     result; other columns are left out; an empty table gives no rows.
     """
     if length < 2:
         raise ValueError("a window has two words at least")
-    docs = df.select(*_identity(id_col, text_col))
+    docs = df.select(*_identity(id_col, text_col, keep))
     anchors = docs.mapInArrow(lambda it: _anchor_rows(it, length), _ANCHOR_ROWS)
     slot = Window.partitionBy("slot")
     anchors = anchors.withColumn("n", F.count("*").over(slot)).withColumn("any", F.max("twice").over(slot))
     known = anchors.filter(F.col("many").isNotNull() | (~F.col("twice") & ((F.col("n") > 1) | F.col("any"))))
     known = known.select("ord", "key", F.coalesce("many", _reversed(F.col("slot"))).alias("many"))
     known = known.groupBy("ord", "key").agg(F.collect_list("many").alias("repeated"))
-    found = docs.join(known, ["ord", "key"]).select("id", "ord", "key", "_text", "repeated").mapInArrow(lambda it: _window_rows(it, length), _WINDOW_ROWS)
+    # both joins take the documents in the same form, so that their exchange is made once
+    found = docs.join(known, ["ord", "key"]).select("id", *keep, "ord", "key", "_text", "repeated").mapInArrow(lambda it: _window_rows(it, length), _WINDOW_ROWS)
+    # dealt by h1 alone; the rest of the hash is unpacked where it is needed
+    found = found.repartition("h1").withColumn("h2", F.shiftright("rest", 32)).withColumn("at", F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)))
     first = F.min(F.struct("ord", "key")).over(Window.partitionBy("h1", "h2"))
     later = found.withColumn("first", first).filter(F.col("many").isNotNull() | (F.col("first") < F.struct("ord", "key")))
     later = later.select("ord", "key", F.coalesce("many", _reversed(F.col("at"), 4)).alias("many")).groupBy("ord", "key").agg(F.collect_list("many").alias("removed"))
-    out = docs.join(later, ["ord", "key"], "left").select("id", "ord", "key", "_text", "removed")
+    out = docs.join(later, ["ord", "key"], "left").select("id", *keep, "ord", "key", "_text", "removed")
     kind = df.schema[id_col].dataType.simpleString()
-    return out.mapInArrow(lambda it: _keep(it, length), f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return out.mapInArrow(lambda it: _keep(it, length, keep, as_is), f"id {kind}{kept}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
 def _reversed(number: F.Column, size: int = 8) -> F.Column:
