@@ -31,7 +31,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, least=0)
-    return warc.read_archive(spark, path)
+    return warc.read_archive(spark, path).drop("url_key")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages),
+d AS (SELECT *, sha1(html) AS h FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * k // 4 + 1)::INTEGER, 2))::INTEGER >> (3 - 5 * k % 4)::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM d
+"""
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +54,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP5_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, i, words[i : i + 19] AS seq FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+k AS (SELECT w.doc_id, w.words, coalesce(list(g.i) FILTER (g.i IS NOT NULL), []) AS gone FROM w LEFT JOIN g USING (doc_id) GROUP BY ALL)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM k
+"""
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.store_texts(table(spark, sf_dir, "documents"))
     read = jpeg.read_media(stored, keep=("doc_id", "n_bytes", "media"))
@@ -100,5 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_capture_index": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op7_extendible_sharding": OP7_SQL,
 }
