@@ -16,9 +16,11 @@ from quarry.llm import bpe, decontaminate, gam, simhash, substrings
 from quarry.llm.common import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: Near copies share 0.8 of their five-word shingles: 77 of 512 fingerprint bits
-#: differ at that similarity, acos(2 * 0.8 / 1.8) / pi of them.
-SHINGLE_WORDS, BITS, DIFFERING, GUARANTEED, PARTS = 5, 512, 77, 26, (20, 27)
+#: Near copies share 0.8 of their five-word shingles. At that similarity 77.6 of 512
+#: fingerprint bits differ on average, acos(2 * 0.8 / 1.8) / pi of them, and rarely
+#: over 94. Pairs up to 39 bits apart always meet in one of 40 parts, those at 78
+#: bits nearly always.
+SHINGLE_WORDS, SIMILARITY, BITS, DIFFERING, GUARANTEED, PARTS = 5, 0.8, 512, 94, 39, (40,)
 SUBSTRING_WORDS = 20
 QUALITY_CUT = 0.3
 
@@ -42,7 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id. Rows without an
     id stay, but for exact copies."""
-    found = simhash.near_duplicates(docs, SHINGLE_WORDS, BITS, DIFFERING, GUARANTEED, PARTS)
+    found = simhash.near_duplicates(docs, SHINGLE_WORDS, BITS, DIFFERING, GUARANTEED, PARTS, SIMILARITY)
     heads = found.filter("doc_id = component").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)

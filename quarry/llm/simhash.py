@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import components, cut, mix, slices, whole_text
 
 #: Members up to which all pairs of a bucket are verified in one go.
-BUCKET = 64
+BUCKET = 128
 #: Members of a block, where larger buckets are compared block by block.
 BLOCK = 1024
+#: Fingerprints of which a task sums up one matrix of bits.
+ROWS_OF_A_MATRIX = 20_000
 
 # -- fingerprints ----------------------------------------------------------------
 
@@ -82,7 +85,7 @@ def fingerprints(df: DataFrame, words: int = 3, bits: int = 64, id_col: str = "d
 
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1 if values else 8)
 
 
 # -- the plan ----------------------------------------------------------------------
@@ -96,8 +99,9 @@ class Plan:
     thresholds: list[int]
 
 
-def bit_correlation(prints: DataFrame, bits: int) -> np.ndarray:
-    """Absolute correlation of all pairs of bits, over all fingerprints."""
+def bit_correlation(prints: DataFrame, bits: int, n: int) -> np.ndarray:
+    """Absolute correlation of all pairs of bits, over all fingerprints. A task's sums
+    are one matrix, so a task takes many rows; matrices are added up row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((bits, bits))
@@ -105,14 +109,17 @@ def bit_correlation(prints: DataFrame, bits: int) -> np.ndarray:
             for at in range(0, batch.num_rows, 4096):
                 x = np.unpackbits(_matrix(batch.column(0).slice(at, 4096)), axis=1).astype(np.float32)
                 total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(bits), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["bit", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(bits), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["bit", "sums"])
 
-    added = prints.select("fingerprint").mapInArrow(run, "bit int, sums array<double>")
-    rows = added.select("bit", F.posexplode("sums").alias("other", "v")).groupBy("bit", "other").agg(F.sum("v").alias("v")).collect()
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(r, np.float64) for r in rows.sums], axis=0)
+        return pd.DataFrame({"bit": rows.bit.iloc[:1], "sums": [total.tobytes()]})
+
+    parts = prints.select("fingerprint").coalesce(max(1, n // ROWS_OF_A_MATRIX)).mapInArrow(run, "bit int, sums binary")
     both = np.zeros((bits, bits))
-    for r in rows:
-        both[r.bit, r.other] = r.v
-    n = max(prints.count(), 1)
+    for r in parts.groupBy("bit").applyInPandas(add, "bit int, sums binary").collect():
+        both[r.bit] = np.frombuffer(r.sums, np.float64)
+    n = max(n, 1)
     p = np.diag(both) / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     return np.abs((both / n - np.outer(p, p)) / np.outer(spread, spread))
@@ -169,7 +176,8 @@ def _part_keys(bytes_: np.ndarray, part: list[int], drop: tuple[int, ...] = ())
 def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...]) -> Plan:
     """Tries each number of parts; how often two fingerprints agree in a part is
     measured over all of them."""
-    correlation, n = bit_correlation(prints, bits), prints.count()
+    n = prints.count()
+    correlation = bit_correlation(prints, bits, n)
     layouts = {m: group_bits(correlation, m) for m in choices}
     tags = [(m, k) for m in choices for k in range(m)]
 
@@ -197,20 +205,22 @@ def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...])
 
 
 def buckets(prints: DataFrame, plan: Plan) -> DataFrame:
-    """(part, key, node, fingerprint): two rows within a part's threshold t share
-    the bucket that leaves out the bits in which they differ, t of them."""
+    """(part, key, node, s1, s2): two rows within a part's threshold t share the
+    bucket that leaves out the bits in which they differ, t of them. The sketch is
+    the first 128 bits (s2 is 0 where there are 64), so that rows stay short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 rows = batch.slice(at, 8192)
                 x, tag = _matrix(rows.column(1)), 0
+                sketch = [pa.array(x[:, :8].copy().view(np.int64).ravel()), pa.array(x[:, 8:16].copy().view(np.int64).ravel() if x.shape[1] > 8 else np.zeros(len(x), np.int64))]
                 for part, t in zip(plan.parts, plan.thresholds):
                     for drop in itertools.combinations(range(len(part)), t) if t >= 0 else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), rows.column(1)], ["part", "key", "node", "fingerprint"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *sketch], ["part", "key", "node", "s1", "s2"])
                         tag += 1
 
-    return prints.select("node", "fingerprint").mapInArrow(run, "part int, key long, node long, fingerprint binary")
+    return prints.select("node", "fingerprint").mapInArrow(run, "part int, key long, node long, s1 long, s2 long")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -234,13 +244,15 @@ def forest(n: int, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
             yield i, j
 
 
-def _verify(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """Links within buckets of at most BUCKET members, all buckets of a size together."""
+def _verify(batches: Iterator[pa.RecordBatch], tau: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of near sketches within buckets of at most BUCKET members, all buckets of
+    a size together. Where the sketch is the whole fingerprint these are links, and
+    of a crowded bucket only a spanning forest is kept."""
     for batch in batches:
-        nodes, prints = batch.column(0), batch.column(1)
+        nodes = batch.column(0)
         sizes = nodes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         node = nodes.flatten().to_numpy(zero_copy_only=False)
-        x = _matrix(prints.flatten()).view(np.uint64)
+        x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for s in np.unique(sizes).tolist():
@@ -250,9 +262,9 @@ def _verify(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBa
             for k in range(0, len(own), step):
                 at = own[k : k + step]
                 p, q = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                near = _distances(x[p], x[q]) <= tau
+                near = np.bitwise_count(x[p] ^ x[q]) + np.bitwise_count(y[p] ^ y[q]) <= tau
                 p, q, own_of = p[near], q[near], np.repeat(np.arange(len(at)), len(i))[near]
-                crowded = (np.bincount(own_of, minlength=len(at)) > 3 * s)[own_of]
+                crowded = (np.bincount(own_of, minlength=len(at)) > (3 * s if whole else s * s))[own_of]
                 if crowded.any():
                     kept = np.array(list(forest(len(x), p[crowded].tolist(), q[crowded].tolist())), np.int64)
                     p, q = np.concatenate([p[~crowded], kept[:, 0]]), np.concatenate([q[~crowded], kept[:, 1]])
@@ -267,7 +279,7 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             rows = batch.slice(at, 8192)
-            x = _matrix(rows.column(1)).view(np.uint64)
+            x = rows.column(1).to_numpy().view(np.uint64)[:, None]
             z = (x ^ flip).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(rows.column(0).to_numpy(), 65))], ["z", "node"])
 
@@ -289,8 +301,31 @@ def _blocks(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([int(both[k[c]]) for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
-def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None) -> DataFrame:
-    """Links (a, b) whose connected components are those of all pairs that lie in
+def sketch_distance(bits: int, tau: int) -> int:
+    """Bits in which the sketches of two fingerprints may differ: four standard
+    deviations more than are to be expected."""
+    if bits == 64:
+        return tau
+    p = tau / bits
+    return math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
+
+
+def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
+    """(a, b, apart): pairs whose fingerprints differ in tau bits or fewer."""
+    apart = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = apart.join(prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_matrix(batch.column(c)).view(np.uint64) for c in (2, 3))
+            d = _distances(x, y).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "apart"]).filter(pa.array(d <= tau))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, apart int")
+
+
+def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, crowded: int | None = None) -> DataFrame:
+    """Links (a, b, apart) whose connected components are those of all pairs that lie in
     one bucket and differ in `tau` bits or fewer. `prints`: (node long,
     fingerprint binary), fingerprints distinct. Pairs up to `guaranteed` bits
     (default: tau) always share a bucket.
@@ -298,45 +333,92 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
     Buckets over BUCKET members are handled without emitting their pairs. Up to
     two bits, by neighbours at one bit: two fingerprints within two bits share
     one, and at most 65 share any, so this is linear and has no hot key. Beyond,
-    by pairs of blocks, each compared in one task, which gives a forest.
+    by pairs of blocks, each compared in one task, which gives a forest of links of
+    `crowded` bits or fewer (default: tau), for which apart is 0.
     """
-    spark = prints.sparkSession
     guaranteed = tau if guaranteed is None else guaranteed
     plan = make_plan(prints, bits, guaranteed, choices or tuple(range(2, guaranteed + 3)))
     rows = buckets(prints, plan)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = cut(rows.join(sizes, ["part", "key"]))
-    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", "fingerprint")).alias("m"))
-    links = small.select("m.node", "m.fingerprint").mapInArrow(lambda it: _verify(it, tau), "a long, b long")
+    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", "s1", "s2")).alias("m"))
+    whole, near = bits == 64, sketch_distance(bits, tau)
+    links = small.select("m.node", "m.s1", "m.s2").mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
+    links = links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
     hot = shared.filter(F.col("size") > BUCKET)
     if not hot.take(1):
         return links
-    if bits == 64 and tau <= 2:
+    if whole and tau <= 2:
         if tau < 2:
             raise ValueError("neighbours at one bit give all links within two bits")
-        near = hot.select("node", "fingerprint").distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
-        return links.unionByName(near.select(F.array_min("n").alias("a"), F.explode("n").alias("b")).filter("a <> b"))
+        shared_by = hot.select("node", F.col("s1").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
+        return links.unionByName(shared_by.select(F.array_min("n").alias("a"), F.explode("n").alias("b"), F.lit(0).alias("apart")).filter("a <> b"))
+    hot = hot.join(prints.select("node", "fingerprint"), "node")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = hot.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", "part"), F.col("n_blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     pairs = pairs.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "fingerprint")
     grouped = pairs.groupBy("part", "key", "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), "fingerprint", "lx"), (F.col("second"), "node", "rn"), (F.col("second"), "fingerprint", "rx"))))
     grouped = grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0))
-    return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, tau), "a long, b long"))
+    most = tau if crowded is None else crowded
+    return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, most), "a long, b long").withColumn("apart", F.lit(0)))
+
+
+def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
+    """The links of at most `sure` bits, and of the others those between different
+    components of these whose texts share `similarity` of their shingles (Jaccard).
+    `texts`: (id, text)."""
+    firm = links.filter(F.col("apart") <= sure).select("a", "b")
+    heads = cut(components(firm))
+    loose = links.filter(F.col("apart") > sure).select("a", "b")
+    for side in ("a", "b"):
+        loose = loose.join(heads.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    loose = cut(loose.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    wanted = loose.select(F.col("a").alias("id")).union(loose.select(F.col("b").alias("id"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [np.unique(shingle_hashes(t, words)).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    rows = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    shingles = rows.select("id", "text").mapInArrow(sets, "id long, shingles binary")
+    both = loose.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(common >= similarity * (len(u) + len(v) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return firm.unionByName(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
 
-def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint binary, component long) of every row.
 
     Component: the least id that links of `tau` bits or fewer reach, the row's
-    own included. Rows of equal fingerprints are one node. Null and empty texts
+    own included. With `similarity` a link must also share so much of its shingles;
+    this is checked on the texts, unless the fingerprints are so near that it is
+    beyond doubt, or lie in a crowded bucket, where they decide alone. Rows of equal fingerprints are one node. Null and empty texts
     have fingerprint zero; repeated rows are kept, rows of one id are one
     document; a row without id links to nothing and has no component; other
     columns are left out; an empty table gives no rows.
     """
     prints = cut(fingerprints(df, words, bits, id_col, text_col).withColumnRenamed(id_col, "id"))
     nodes = cut(prints.filter("id is not null").groupBy("fingerprint").agg(F.min(F.col("id").cast("long")).alias("node")))
-    links = near_links(nodes, bits, tau, guaranteed, choices)
+    if similarity is None:
+        links = near_links(nodes, bits, tau, guaranteed, choices).select("a", "b")
+    else:
+        mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+        sure = mean - 2 * math.sqrt(mean * (1 - mean / bits))
+        near = cut(near_links(nodes, bits, tau, guaranteed, choices, round(mean)))
+        texts = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+        links = confirm(near, texts, words, similarity, int(sure))
     # Rows of one id are one document, whatever their texts.
     several = prints.filter("id is not null").groupBy("id").agg(F.min("fingerprint").alias("p"), F.max("fingerprint").alias("q")).filter("p <> q").select("id")
     several = prints.join(several, "id").join(nodes, "fingerprint").select(F.col("node").alias("a"), F.col("id").cast("long").alias("b"))

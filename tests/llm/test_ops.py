@@ -140,6 +140,21 @@ def test_large_buckets_are_linked_without_pairs(spark):
     assert all(blocks.get(i, i) == seen[i] for i in range(300))
 
 
+def test_similarity_is_checked_on_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows, base = [], [[rng.choice(words) for _ in range(300)] for _ in range(40)]
+    for i, own in enumerate(base):
+        rows.append((10 * i, " ".join(own)))
+        for k in range(1, 6):  # k words changed, far from each other
+            edited = [f"new{k}" if j % 50 == 7 and j // 50 < k * 2 - 1 else w for j, w in enumerate(own)]
+            rows.append((10 * i + k, " ".join(edited)))
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(table(spark, rows), 5, 512, 94, 39, (40,), 0.8).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    alike = [(a, b) for i in range(40) for a in range(10 * i, 10 * i + 6) for b in range(a + 1, 10 * i + 6) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(found[a] == found[b] for a, b in alike) >= 0.97 * len(alike) and all(found[d] // 10 == d // 10 for d, _ in rows)
+
+
 def test_threshold_allocation():
     cost, t = simhash.allocate([22, 21, 21], [2**-22, 2**-21, 2**-21], 10**6, 2)
     assert t == [0, 0, 0] and cost > 0
