@@ -131,7 +131,7 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the lane's base and of its inverse modulo 2^64."""
     have = _POWERS.get(lane)
     if have is None or len(have[0]) < n:
-        size = max(CHUNK_BYTES + 4096, 1 << int(n - 1).bit_length())
+        size = max(CHUNK_BYTES + 1, n)
         made = []
         for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
             p = np.full(size, base, U64)
@@ -142,14 +142,27 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, taken from prefix
-    sums of the whole buffer, then mixed."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _powers(lane, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each word: a polynomial in its bytes, taken from prefix sums
+    of CHUNK_BYTES of the buffer at a time, then mixed."""
+    out, a = np.zeros(len(starts), U64), 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        if ends[b - 1] - base > CHUNK_BYTES:  # one very long word, piece by piece
+            total, at, end = 0, base, int(ends[a])
+            while at < end:
+                piece = data[at : min(end, at + CHUNK_BYTES)]
+                total += int(np.sum((piece.astype(U64) + U64(1)) * _powers(lane, len(piece))[0][: len(piece)])) * pow(_BASES[lane], at - base, 1 << 64)
+                at += len(piece)
+            out[a] = total & (1 << 64) - 1
+        else:
+            piece = data[base : ends[b - 1]]
+            up, down = _powers(lane, len(piece) + 1)
+            sums = np.zeros(len(piece) + 1, U64)
+            np.cumsum((piece.astype(U64) + U64(1)) * up[: len(piece)], out=sums[1:])
+            out[a:b] = (sums[ends[a:b] - base] - sums[starts[a:b] - base]) * down[starts[a:b] - base]
+        a = b
+    return mix(out)
 
 
 def window_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, buffers, remainder, slices, whole_text, word_hashes, word_spans
+from .common import CHUNK_BYTES, bounded_sample, buffers, remainder, slices, whole_text, word_hashes, word_spans
 
 #: Labelled rows that a fit takes at most, an even share by a hash of their id: the
 #: bound on what reaches the driver.
@@ -40,11 +40,17 @@ def features(column: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text; an empty text has zeros."""
     data, offsets = buffers(column)
     n, size = len(offsets) - 1, np.diff(offsets)
-    of = np.repeat(np.arange(n), size)
-    kind = _CLASS[data]
-    counts = np.bincount(of * len(_CLASSES) + kind, minlength=n * len(_CLASSES)).reshape(n, -1)
+    bytes_of = np.zeros(n * 256, np.int64)
+    for at in range(0, len(data), CHUNK_BYTES):  # a very long text takes several portions
+        part = data[at : at + CHUNK_BYTES]
+        of = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
+        low = int(of[0])
+        found = np.bincount((of - low) * 256 + part)
+        bytes_of[low * 256 : low * 256 + len(found)] += found
+    bytes_of = bytes_of.reshape(n, 256)
+    counts = bytes_of @ (_CLASS[:, None] == np.arange(len(_CLASSES))).astype(np.int64)
     share = counts / np.maximum(size, 1)[:, None]
-    letters = np.bincount(of * 256 + data, minlength=n * 256).reshape(n, 256) / np.maximum(size, 1)[:, None]
+    letters = bytes_of / np.maximum(size, 1)[:, None]
     entropy = -(letters * np.log(np.where(letters > 0, letters, 1))).sum(1)
 
     starts, ends, first = word_spans(data, offsets)
@@ -66,7 +72,7 @@ def features(column: pa.Array) -> np.ndarray:
     np.maximum.at(top, o[new], runs)
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    first_kind, last_kind = kind[starts] if len(starts) else starts, kind[ends - 1] if len(ends) else ends
+    first_kind, last_kind = (_CLASS[data[at]] if len(at) else at for at in (starts, ends - 1))
     at = {c: share[:, i] for i, c in enumerate(_CLASSES)}
     columns = {
         "log_bytes": np.log1p(size), "log_words": np.log1p(words), "word_bytes": mean, "word_bytes_sd": np.sqrt(np.maximum(per(length**2) - mean**2, 0)), "longest_word": np.log1p(longest), "short_words": per(length <= 3),

@@ -64,27 +64,18 @@ def _header(rows: int) -> bytes:
 
 def write_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """One stored form for each payload; all are positive multiples of ROW bytes."""
-    samples = data.reshape(-1, ROW).astype(np.int16)
-    diff = np.empty_like(samples)
-    diff[:, 0] = samples[:, 0] - 128
-    np.subtract(samples[:, 1:], samples[:, :-1], out=diff[:, 1:])
-    code = _CODES[diff + 255].reshape(-1, ROW // 4, 4)
-    word = code[..., 0] << np.uint64(30) | code[..., 1] << np.uint64(20) | code[..., 2] << np.uint64(10) | code[..., 3]
-    n = len(samples)
-    lanes = np.empty((n, ROW // 4 * 5 + 2), np.uint8)
-    lanes[:, :-2] = word.astype(">u8").view(np.uint8).reshape(n, ROW // 4, 8)[:, :, 3:].reshape(n, -1)
+    n = len(data) // ROW
     firsts = offsets // ROW
-    row = np.arange(n) - np.repeat(firsts[:-1], np.diff(firsts))
     last = np.zeros(n, bool)
     last[firsts[1:] - 1] = True
-    in_frame = row % FRAME_ROWS
-    lanes[:, -2] = 0xFF
-    lanes[:, -1] = np.where(last | (in_frame == FRAME_ROWS - 1), 0xD9, 0xD0 + in_frame % 8)
-    full = lanes[:, :-2] == 0xFF
-    where = np.flatnonzero(lanes.reshape(-1) == 0xFF)
-    where = where[where % lanes.shape[1] < lanes.shape[1] - 2]
-    body = np.insert(lanes.reshape(-1), where + 1, 0).tobytes()
-    ends = np.concatenate([[0], np.cumsum(lanes.shape[1] + full.sum(1))])
+    in_frame = (np.arange(n) - np.repeat(firsts[:-1], np.diff(firsts))) % FRAME_ROWS
+    mark = np.where(last | (in_frame == FRAME_ROWS - 1), 0xD9, 0xD0 + in_frame % 8).astype(np.uint8)
+    bodies, sizes = [], []
+    for a in range(0, n, PORTION // ROW):
+        body, size = _rows(data[a * ROW : a * ROW + PORTION].reshape(-1, ROW), mark[a : a + PORTION // ROW])
+        bodies.append(body)
+        sizes.append(size)
+    body, ends = b"".join(bodies), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         parts = []
@@ -95,6 +86,23 @@ def write_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def _rows(samples: np.ndarray, mark: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Rows of blocks, each followed by its marker, and their sizes."""
+    samples = samples.astype(np.int16)
+    diff = np.empty_like(samples)
+    diff[:, 0] = samples[:, 0] - 128
+    np.subtract(samples[:, 1:], samples[:, :-1], out=diff[:, 1:])
+    code = _CODES[diff + 255].reshape(-1, ROW // 4, 4)
+    word = code[..., 0] << np.uint64(30) | code[..., 1] << np.uint64(20) | code[..., 2] << np.uint64(10) | code[..., 3]
+    lanes = np.empty((len(samples), ROW // 4 * 5 + 2), np.uint8)
+    lanes[:, :-2] = word.astype(">u8").view(np.uint8).reshape(len(samples), ROW // 4, 8)[:, :, 3:].reshape(len(samples), -1)
+    lanes[:, -2], lanes[:, -1] = 0xFF, mark
+    full = lanes[:, :-2] == 0xFF
+    where = np.flatnonzero(lanes.reshape(-1) == 0xFF)
+    where = where[where % lanes.shape[1] < lanes.shape[1] - 2]
+    return np.insert(lanes.reshape(-1), where + 1, 0).tobytes(), lanes.shape[1] + full.sum(1)
+
+
 def pad(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Payloads: each text with bytes 0 up to a positive multiple of ROW."""
     sizes = np.diff(offsets)

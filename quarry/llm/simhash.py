@@ -61,11 +61,20 @@ def majority_bits(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     pieces = -(-sizes[have] // 255)
     first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
     cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    owner = np.repeat(np.arange(len(have)), pieces)
+    ends = np.append(cuts[1:], len(every))
     for lane in range(bits // 64):
-        h = every if lane == 0 else mix(every + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        rows = _BYTE_COUNTERS[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
-        sums = np.add.reduceat(np.add.reduceat(rows, cuts, 0).view(np.uint8).reshape(-1, 64), first, 0, np.int64)
-        out[have, lane * 8 : lane * 8 + 8] = np.packbits(2 * sums > sizes[have][:, None], axis=1)
+        counts = np.zeros((len(have), 64), np.int64)
+        for i in range(0, len(cuts), 1024):
+            j = min(i + 1024, len(cuts))
+            h = every[cuts[i] : ends[j - 1]]
+            if lane:
+                h = mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            rows = _BYTE_COUNTERS[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
+            sums = np.add.reduceat(rows, cuts[i:j] - cuts[i], 0).view(np.uint8).reshape(-1, 64)
+            new = np.flatnonzero(np.diff(owner[i:j], prepend=-1))
+            counts[owner[i:j][new]] += np.add.reduceat(sums, new, 0, np.int64)
+        out[have, lane * 8 : lane * 8 + 8] = np.packbits(2 * counts > sizes[have][:, None], axis=1)
     return out
 
 

@@ -401,6 +401,18 @@ def test_word_hashes_and_windows():
         assert w[0] == w[7] and (length > 2 or w[0] == w[2])
 
 
+def test_word_hashes_do_not_depend_on_portions(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcd") for _ in range(rng.choice([1, 3, 9, 40, 700]))) for _ in range(60))
+    data, offsets = common.buffers(pa.array([text]))
+    starts, ends, _ = common.word_spans(data, offsets)
+    whole = [common.word_hashes(data, starts, ends, lane) for lane in (0, 1)]
+    for size in (16, 100, 650):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        monkeypatch.setattr(common, "_POWERS", {})
+        assert all((common.word_hashes(data, starts, ends, lane) == whole[lane]).all() for lane in (0, 1))
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(500, 500), (7, 300)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
