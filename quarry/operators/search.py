@@ -48,24 +48,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best: list = [None] * len(ids)
+            best = _Best(len(ids), k)
             for batch in batches:
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
                     sims = _unit(part.column(1).to_pylist()) @ q.T if len(ids) else np.zeros((part.num_rows, 0))
-                    sims = np.round(sims, digits) if digits is not None else sims
-                    names = np.array(part.column(0).to_pylist(), object)
-                    for j in range(len(ids)):
-                        s, n = sims[:, j], names
-                        if best[j] is not None:
-                            s, n = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], n])
-                        edge = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                        keep = np.flatnonzero(s >= edge)  # all that tie with the last
-                        keep = keep[sorted(range(len(keep)), key=lambda i: (-s[keep[i]], n[keep[i]]))][:k]
-                        best[j] = (s[keep], n[keep])
-            rows_ = [(ids[j], x, float(v)) for j, b in enumerate(best) if b is not None for v, x in zip(*b)]
-            cols = list(zip(*rows_)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), id_type), pa.array(list(cols[1]), vector_type), pa.array(list(cols[2]), pa.float64())], [query_id, vector_id, "similarity"])
+                    best.add(np.array(part.column(0).to_pylist()), np.round(sims, digits) if digits is not None else sims)
+            which, names, sims = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in which], id_type), pa.array(names, vector_type), pa.array(sims, pa.float64())], [query_id, vector_id, "similarity"])
 
         part = source.mapInArrow(run, f"`{query_id}` {types[query_id]}, `{vector_id}` {types[vector_id]}, similarity double")
         out = part if out is None else out.unionByName(part)
@@ -74,6 +64,39 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str
     return ranked.select(query_id, "rank", vector_id, "similarity")
 
 
+class _Best:
+    """The k best of each query so far, by falling similarity, then by id. A portion
+    adds only what reaches the query's k-th best."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.edge = k, np.full(queries, -np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, names: np.ndarray, sims: np.ndarray) -> None:
+        if len(sims) > self.k and sims.shape[1]:
+            np.maximum(self.edge, np.partition(sims, -self.k, axis=0)[-self.k], out=self.edge)
+        row, which = np.nonzero(sims >= self.edge)
+        self.kept.append((which, names[row], sims[row, which]))
+        self.size += len(row)
+        if self.size > 1_000_000:
+            self._settle()
+
+    def _settle(self) -> None:
+        which, names, sims = (np.concatenate(x) for x in zip(*self.kept))
+        order = np.lexsort((names, -sims, which))
+        which, names, sims = which[order], names[order], sims[order]
+        first = np.searchsorted(which, which)
+        keep = np.arange(len(which)) - first < self.k
+        self.kept, self.size = [(which[keep], names[keep], sims[keep])], int(keep.sum())
+
+    def rows(self) -> tuple[list, list, list]:
+        if not self.kept:
+            return [], [], []
+        self._settle()
+        return tuple(x.tolist() for x in self.kept[0])
+
+
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
