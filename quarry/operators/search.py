@@ -25,8 +25,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str = "query_id", vector_id: str = "chunk_id", query_vec: str = "query_embedding", vector_vec: str = "embedding", digits: int | None = None) -> DataFrame:
-    """(query_id, rank, vector_id, similarity): the k nearest of each query, exact, by
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str = "query_id", vector_id: str = "chunk_id", query_vec: str = "query_embedding", vector_vec: str = "embedding", digits: int | None = None, carry: str | None = None) -> DataFrame:
+    """(query_id, rank, vector_id, similarity[, carry]): the k nearest of each query, exact, by
     falling similarity, then by id. Null vectors match nothing.
 
     A stated set of queries against all rows: blocks of queries of a bounded size are
@@ -39,7 +39,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str
     blocks = max(1, -(-values // BROADCAST_VALUES))
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (vectors, vector_id))}
     id_type, vector_type = _arrow(queries, query_id), _arrow(vectors, vector_id)
-    source = vectors.select(vector_id, vector_vec).filter(F.col(vector_vec).isNotNull())
+    extra = [F.col(carry).cast("string").alias(carry)] if carry else []
+    source = vectors.select(vector_id, vector_vec, *extra).filter(F.col(vector_vec).isNotNull())
     out = None
     for b in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else rows
@@ -53,15 +54,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_id: str
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
                     sims = _unit(part.column(1).to_pylist()) @ q.T if len(ids) else np.zeros((part.num_rows, 0))
-                    best.add(np.array(part.column(0).to_pylist()), np.round(sims, digits) if digits is not None else sims)
-            which, names, sims = best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in which], id_type), pa.array(names, vector_type), pa.array(sims, pa.float64())], [query_id, vector_id, "similarity"])
+                    best.add(np.array(part.column(0).to_pylist()), np.round(sims, digits) if digits is not None else sims, np.array(part.column(2).to_pylist(), object) if carry else None)
+            which, names, sims, texts = best.rows()
+            columns = [pa.array([ids[j] for j in which], id_type), pa.array(names, vector_type), pa.array(sims, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * bool(carry), [query_id, vector_id, "similarity"] + [carry] * bool(carry))
 
-        part = source.mapInArrow(run, f"`{query_id}` {types[query_id]}, `{vector_id}` {types[vector_id]}, similarity double")
+        part = source.mapInArrow(run, f"`{query_id}` {types[query_id]}, `{vector_id}` {types[vector_id]}, similarity double" + (f", `{carry}` string" if carry else ""))
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), vector_id)
     ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", vector_id, "similarity")
+    return ranked.select(query_id, "rank", vector_id, "similarity", *([carry] if carry else []))
 
 
 class _Best:
@@ -70,29 +72,29 @@ class _Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.edge = k, np.full(queries, -np.inf)
-        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kept: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, names: np.ndarray, sims: np.ndarray) -> None:
+    def add(self, names: np.ndarray, sims: np.ndarray, texts: np.ndarray | None) -> None:
         if len(sims) > self.k and sims.shape[1]:
             np.maximum(self.edge, np.partition(sims, -self.k, axis=0)[-self.k], out=self.edge)
         row, which = np.nonzero(sims >= self.edge)
-        self.kept.append((which, names[row], sims[row, which]))
+        self.kept.append((which, names[row], sims[row, which], np.full(len(row), None) if texts is None else texts[row]))
         self.size += len(row)
         if self.size > 1_000_000:
             self._settle()
 
     def _settle(self) -> None:
-        which, names, sims = (np.concatenate(x) for x in zip(*self.kept))
+        which, names, sims, texts = (np.concatenate(x) for x in zip(*self.kept))
         order = np.lexsort((names, -sims, which))
-        which, names, sims = which[order], names[order], sims[order]
-        first = np.searchsorted(which, which)
-        keep = np.arange(len(which)) - first < self.k
-        self.kept, self.size = [(which[keep], names[keep], sims[keep])], int(keep.sum())
+        which = which[order]
+        keep = np.arange(len(which)) - np.searchsorted(which, which) < self.k
+        order = order[keep]
+        self.kept, self.size = [(which[keep], names[order], sims[order], texts[order])], len(order)
 
-    def rows(self) -> tuple[list, list, list]:
+    def rows(self) -> tuple[list, list, list, list]:
         if not self.kept:
-            return [], [], []
+            return [], [], [], []
         self._settle()
         return tuple(x.tolist() for x in self.kept[0])
 

@@ -31,8 +31,8 @@ def index_documents(docs: DataFrame, config: ChunkConfig | None = None, quick_cl
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = search.TOP_K, embedder=None, query_col: str = "query", digits: int | None = None) -> DataFrame:
     """Hits with texts for (query_id, query) rows over indexed chunks."""
     probes = embed.embed(queries, embedder, query_col, "query_embedding")
-    hits = search.top_k(probes, chunks, k, digits=digits)
-    return hits.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "text", "similarity")
+    hits = search.top_k(probes, chunks, k, digits=digits, carry="text")
+    return hits.select("query_id", "rank", "chunk_id", "text", "similarity")
 
 
 def prompts(queries: DataFrame, hits: DataFrame, numbered: bool = False) -> DataFrame:
