@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import components, cut, mix, slices, whole_text
 
 #: Members up to which all pairs of a bucket are verified in one go.
-BUCKET = 128
+BUCKET = 64
+#: 64-bit lanes of a fingerprint that go into the buckets.
+LANES = 4
 #: Members of a block, where larger buckets are compared block by block.
 BLOCK = 1024
 #: Fingerprints of which a task sums up one matrix of bits.
@@ -214,22 +216,23 @@ def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...])
 
 
 def buckets(prints: DataFrame, plan: Plan) -> DataFrame:
-    """(part, key, node, s1, s2): two rows within a part's threshold t share the
+    """(part, key, node, s0, ...): two rows within a part's threshold t share the
     bucket that leaves out the bits in which they differ, t of them. The sketch is
-    the first 128 bits (s2 is 0 where there are 64), so that rows stay short."""
+    the first LANES times 64 bits, so that rows stay short."""
+    names = ["part", "key", "node", *(f"s{k}" for k in range(lanes(sum(map(len, plan.parts)))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 rows = batch.slice(at, 8192)
                 x, tag = _matrix(rows.column(1)), 0
-                sketch = [pa.array(x[:, :8].copy().view(np.int64).ravel()), pa.array(x[:, 8:16].copy().view(np.int64).ravel() if x.shape[1] > 8 else np.zeros(len(x), np.int64))]
+                sketch = [pa.array(x[:, 8 * k : 8 * k + 8].copy().view(np.int64).ravel()) for k in range(len(names) - 3)]
                 for part, t in zip(plan.parts, plan.thresholds):
                     for drop in itertools.combinations(range(len(part)), t) if t >= 0 else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *sketch], ["part", "key", "node", "s1", "s2"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *sketch], names)
                         tag += 1
 
-    return prints.select("node", "fingerprint").mapInArrow(run, "part int, key long, node long, s1 long, s2 long")
+    return prints.select("node", "fingerprint").mapInArrow(run, "part int, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -261,7 +264,7 @@ def _verify(batches: Iterator[pa.RecordBatch], tau: int, whole: bool) -> Iterato
         nodes = batch.column(0)
         sizes = nodes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         node = nodes.flatten().to_numpy(zero_copy_only=False)
-        x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
+        x = np.stack([batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)], 1).view(np.uint64)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for s in np.unique(sizes).tolist():
@@ -271,7 +274,7 @@ def _verify(batches: Iterator[pa.RecordBatch], tau: int, whole: bool) -> Iterato
             for k in range(0, len(own), step):
                 at = own[k : k + step]
                 p, q = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                near = np.bitwise_count(x[p] ^ x[q]) + np.bitwise_count(y[p] ^ y[q]) <= tau
+                near = _distances(x[p], x[q]) <= tau
                 p, q, own_of = p[near], q[near], np.repeat(np.arange(len(at)), len(i))[near]
                 crowded = (np.bincount(own_of, minlength=len(at)) > (3 * s if whole else s * s))[own_of]
                 if crowded.any():
@@ -310,13 +313,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([int(both[k[c]]) for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
+def lanes(bits: int) -> int:
+    return min(LANES, bits // 64)
+
+
 def sketch_distance(bits: int, tau: int) -> int:
-    """Bits in which the sketches of two fingerprints may differ: four standard
-    deviations more than are to be expected."""
-    if bits == 64:
+    """Bits in which the sketches of two fingerprints may differ that are `tau` bits
+    apart: three and a half standard deviations more than are to be expected."""
+    if bits <= 64 * LANES:
         return tau
-    p = tau / bits
-    return math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
+    p, n = tau / bits, 64 * LANES
+    return math.ceil(n * p + 3.5 * math.sqrt(n * p * (1 - p)))
 
 
 def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
@@ -333,7 +340,7 @@ def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, apart int")
 
 
-def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, crowded: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, expected: int | None = None) -> DataFrame:
     """Links (a, b, apart) whose connected components are those of all pairs that lie in
     one bucket and differ in `tau` bits or fewer. `prints`: (node long,
     fingerprint binary), fingerprints distinct. Pairs up to `guaranteed` bits
@@ -343,24 +350,25 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
     two bits, by neighbours at one bit: two fingerprints within two bits share
     one, and at most 65 share any, so this is linear and has no hot key. Beyond,
     by pairs of blocks, each compared in one task, which gives a forest of links of
-    `crowded` bits or fewer (default: tau), for which apart is 0.
+    `expected` bits or fewer, for which apart is 0. `expected` is how far apart the
+    sketches of a link are taken to be on average at most (default for both: tau).
     """
     guaranteed = tau if guaranteed is None else guaranteed
     plan = make_plan(prints, bits, guaranteed, choices or tuple(range(2, guaranteed + 3)))
     rows = buckets(prints, plan)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = cut(rows.join(sizes, ["part", "key"]))
-    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", "s1", "s2")).alias("m"))
-    whole, near = bits == 64, sketch_distance(bits, tau)
-    links = small.select("m.node", "m.s1", "m.s2").mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
+    whole, near, sketch = bits <= 64 * LANES, sketch_distance(bits, expected or tau), [f"s{k}" for k in range(lanes(bits))]
+    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", *sketch)).alias("m"))
+    links = small.select("m.node", *(f"m.{c}" for c in sketch)).mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
     links = links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
     hot = shared.filter(F.col("size") > BUCKET)
     if not hot.take(1):
         return links
-    if whole and tau <= 2:
+    if bits == 64 and tau <= 2:
         if tau < 2:
             raise ValueError("neighbours at one bit give all links within two bits")
-        shared_by = hot.select("node", F.col("s1").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
+        shared_by = hot.select("node", F.col("s0").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
         return links.unionByName(shared_by.select(F.array_min("n").alias("a"), F.explode("n").alias("b"), F.lit(0).alias("apart")).filter("a <> b"))
     hot = hot.join(prints.select("node", "fingerprint"), "node")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -369,7 +377,7 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
     pairs = pairs.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "fingerprint")
     grouped = pairs.groupBy("part", "key", "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), "fingerprint", "lx"), (F.col("second"), "node", "rn"), (F.col("second"), "fingerprint", "rx"))))
     grouped = grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0))
-    most = tau if crowded is None else crowded
+    most = expected or tau
     return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, most), "a long, b long").withColumn("apart", F.lit(0)))
 
 
