@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +25,29 @@ from .common import slices, whole_text
 NONE = np.int64(1 << 62)
 #: Pieces of up to so many symbols share an array of trees.
 SHORT = 64
-#: Entries that a worker keeps; beyond that it starts afresh.
-CACHE_ENTRIES = 600_000
+#: Words and pieces of a worker's cache, in each of two generations.
+WORDS, PIECES = 100_000, 130_000
+
+
+class Kept:
+    """A cache in two generations: when the newer is full it becomes the older, whose
+    entries come back as they are asked for and are forgotten otherwise."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of a portion's distinct keys that have to be made; the others are in `new`."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (value := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = value
+        return out
 
 
 #: Words of printable ASCII, and their pieces by the file's pattern: the library's
@@ -69,6 +92,7 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made  # made is by rank
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
+        self.pieces = Kept(PIECES)
 
     # -- one pair, many pairs -------------------------------------------------
 
@@ -201,21 +225,34 @@ class Encoder:
         letters = [*piece[:-1], piece[-1] + self.suffix]
         return [i for i in map(self.vocab.get, letters) if i is not None]
 
-    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
-        """Ids of each word; a word has no ASCII white space."""
-        plans: list[list] = []
-        todo: dict[str, list[int]] = {}
-        for word in words:
-            plans.append(plan := self._pieces(word))
-            for p in plan:
-                if isinstance(p, str) and p not in todo:
-                    todo[p] = self._symbols(p)
+    def _code(self, ids: Iterable[int]) -> tuple[bytes, bytes]:
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes(), " ".join([self.strings[i] for i in ids]).encode("utf-8")
+
+    def code_words(self, words: Iterable[bytes]) -> list[tuple[bytes, bytes]]:
+        """Of each word, which has no ASCII white space, the ids as unsigned 32-bit
+        integers and the decoded text. Pieces are kept from call to call."""
+        plans = [self._pieces(word) for word in words]
+        todo = {p: self._symbols(p) if isinstance(p, str) else [p] for p in self.pieces.missing({p for plan in plans for p in plan})}
+        known = self.pieces.new
         short = [p for p, s in todo.items() if len(s) <= SHORT]
-        done = dict(zip(short, self.merge_many([todo[p] for p in short])))
+        known.update(zip(short, map(self._code, self.merge_many([todo[p] for p in short]))))
         for p, s in todo.items():
             if len(s) > SHORT:
-                done[p] = self.merge_one(s)
-        return [[i for p in plan for i in ((p,) if isinstance(p, int) else done[p])] for plan in plans]
+                known[p] = self._code(self.merge_one(s))
+        out = []
+        for plan in plans:
+            if len(plan) == 1:
+                out.append(known[plan[0]])
+            else:
+                parts = [known[p] for p in plan]
+                out.append((b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])))
+        return out
+
+    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
+        return [np.frombuffer(ids, "<u4").tolist() for ids, _ in self.code_words(words)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: token strings, joined by one space."""
@@ -223,7 +260,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_WORDS: dict[str, dict[bytes, tuple[bytes, bytes]]] = {}
+_WORDS: dict[str, Kept] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -237,13 +274,11 @@ def encode_texts(texts: list[bytes], path: str) -> Iterator[tuple[bytes, bytes]]
     """For each text its ids as little-endian unsigned 32-bit integers and the
     decoded text in UTF-8. Words that are not in the worker's cache are encoded
     together first."""
-    enc, cache = encoder(path), _WORDS.setdefault(path, {})
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
+    enc, kept = encoder(path), _WORDS.setdefault(path, Kept(WORDS))
     split = [t.split() for t in texts]
-    new = [w for w in set().union(*split) if w not in cache]
-    for word, ids in zip(new, enc.encode_words(new)):
-        cache[word] = (np.array(ids, "<u4").tobytes(), enc.decode(ids).encode("utf-8"))
+    new = kept.missing(set().union(*split))
+    cache = kept.new
+    cache.update(zip(new, enc.code_words(new)))
     for words in split:
         parts = [cache[w] for w in words]
         yield b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
