@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import buffers, mix, slices, whole_text, window_hashes, word_hashes, word_spans
 
-#: Hashes that a task gathers before it settles and sends them.
-GATHERED = 2_000_000
+#: Hashes that a task gathers before it settles them, and rows that it sends at a time.
+GATHERED, SENT = 500_000, 50_000
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -98,6 +98,11 @@ def _lists(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]
     return doc[at], [raw[a * size : b * size] for a, b in zip(at.tolist(), ends.tolist())]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SENT):
+        yield batch.slice(at, SENT)
+
+
 _ANCHOR_ROWS = "slot long, ord long, key long, twice boolean, many binary"
 
 
@@ -145,10 +150,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             docs.append(ids[owner][keep])
             held += len(hashes[-1])
             if held > GATHERED:
-                yield send()
+                yield from _portions(send())
                 hashes, docs, seen, held = [], [], _Seen(), 0
     if held:
-        yield send()
+        yield from _portions(send())
 
 
 #: `rest` has 32 more bits of the hash above the window's place, so rows stay short.
@@ -199,10 +204,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             gathered.append((window_hashes(w.words, length)[at], lane[at], ids[owner], at - w.first[owner]))
             held += len(at)
             if held > GATHERED:
-                yield send()
+                yield from _portions(send())
                 gathered, seen, held = [], _Seen(), 0
     if held:
-        yield send()
+        yield from _portions(send())
 
 
 def _keep(batches: Iterator[pa.RecordBatch], length: int, keep: tuple[str, ...], as_is: bool) -> Iterator[pa.RecordBatch]:
