@@ -296,21 +296,29 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(rows.column(0).to_numpy(), 65))], ["z", "node"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links within and between two blocks."""
+def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int) -> Iterator[pa.RecordBatch]:
+    """Links within and between two blocks, with their distance: a spanning forest of
+    those of `sure` bits or fewer, and of the others all that join two of its trees."""
     for batch in batches:
         for left, lx, right, rx in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            a, x = np.array(left), np.frombuffer(b"".join(lx), np.uint64).reshape(len(left), -1)
-            b, y = (a, x) if not right else (np.array(right), np.frombuffer(b"".join(rx), np.uint64).reshape(len(right), -1))
-            p, q = [], []
-            for i in range(len(a)):
-                near = np.flatnonzero(_distances(x[i], y) <= tau)
-                near = near[near > i] if not right else near
-                p += [i] * len(near)
-                q += (near + (len(a) if right else 0)).tolist()
-            both = np.concatenate([a, b]) if right else a
-            kept = list(forest(len(both), p, q))
-            yield pa.RecordBatch.from_arrays([pa.array([int(both[k[c]]) for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
+            both, n = np.array(left + right), len(left)
+            x = np.frombuffer(b"".join(lx + rx), np.uint64).reshape(len(both), -1)
+            p, q, d = ([np.zeros(0, np.int64)] for _ in range(3))
+            for i in range(n):
+                start = n if right else i + 1
+                apart = _distances(x[i], x[start:])
+                near = np.flatnonzero(apart <= tau)
+                p.append(np.full(len(near), i))
+                q.append(near + start)
+                d.append(apart[near])
+            p, q, d = (np.concatenate(c).astype(np.int64) for c in (p, q, d))
+            firm, tree = d <= sure, np.arange(len(both))
+            kept = np.array(list(forest(len(both), p[firm].tolist(), q[firm].tolist())), np.int64).reshape(-1, 2)
+            for i, j in kept.tolist():
+                tree[tree == tree[j]] = tree[i]
+            loose = ~firm & (tree[p] != tree[q])
+            a, b = np.concatenate([kept[:, 0], p[loose]]), np.concatenate([kept[:, 1], q[loose]])
+            yield pa.RecordBatch.from_arrays([pa.array(both[a], pa.int64()), pa.array(both[b], pa.int64()), pa.array(_distances(x[a], x[b]).astype(np.int32))], ["a", "b", "apart"])
 
 
 def lanes(bits: int) -> int:
@@ -340,7 +348,7 @@ def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, apart int")
 
 
-def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, expected: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, sure: int | None = None) -> DataFrame:
     """Links (a, b, apart) whose connected components are those of all pairs that lie in
     one bucket and differ in `tau` bits or fewer. `prints`: (node long,
     fingerprint binary), fingerprints distinct. Pairs up to `guaranteed` bits
@@ -349,16 +357,15 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
     Buckets over BUCKET members are handled without emitting their pairs. Up to
     two bits, by neighbours at one bit: two fingerprints within two bits share
     one, and at most 65 share any, so this is linear and has no hot key. Beyond,
-    by pairs of blocks, each compared in one task, which gives a forest of links of
-    `expected` bits or fewer, for which apart is 0. `expected` is how far apart the
-    sketches of a link are taken to be on average at most (default for both: tau).
+    by pairs of blocks, each compared in one task, which gives a forest of the links of
+    `sure` bits or fewer (default: tau) and all others between its trees.
     """
     guaranteed = tau if guaranteed is None else guaranteed
     plan = make_plan(prints, bits, guaranteed, choices or tuple(range(2, guaranteed + 3)))
     rows = buckets(prints, plan)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = cut(rows.join(sizes, ["part", "key"]))
-    whole, near, sketch = bits <= 64 * LANES, sketch_distance(bits, expected or tau), [f"s{k}" for k in range(lanes(bits))]
+    whole, near, sketch = bits <= 64 * LANES, sketch_distance(bits, tau), [f"s{k}" for k in range(lanes(bits))]
     small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", *sketch)).alias("m"))
     links = small.select("m.node", *(f"m.{c}" for c in sketch)).mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
     links = links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
@@ -377,8 +384,8 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
     pairs = pairs.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "fingerprint")
     grouped = pairs.groupBy("part", "key", "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), "fingerprint", "lx"), (F.col("second"), "node", "rn"), (F.col("second"), "fingerprint", "rx"))))
     grouped = grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0))
-    most = expected or tau
-    return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, most), "a long, b long").withColumn("apart", F.lit(0)))
+    firm = tau if sure is None else sure
+    return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, firm, tau), "a long, b long, apart int"))
 
 
 def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
@@ -421,7 +428,7 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2,
     Component: the least id that links of `tau` bits or fewer reach, the row's
     own included. With `similarity` a link must also share so much of its shingles;
     this is checked on the texts, unless the fingerprints are so near that it is
-    beyond doubt, or lie in a crowded bucket, where they decide alone. Rows of equal fingerprints are one node. Null and empty texts
+    beyond doubt, whatever the size of their bucket. Rows of equal fingerprints are one node. Null and empty texts
     have fingerprint zero; repeated rows are kept, rows of one id are one
     document; a row without id links to nothing and has no component; other
     columns are left out; an empty table gives no rows.
@@ -432,10 +439,10 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2,
         links = near_links(nodes, bits, tau, guaranteed, choices).select("a", "b")
     else:
         mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
-        sure = mean - 2 * math.sqrt(mean * (1 - mean / bits))
-        near = cut(near_links(nodes, bits, tau, guaranteed, choices, round(mean)))
+        sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
+        near = cut(near_links(nodes, bits, tau, guaranteed, choices, sure))
         texts = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-        links = confirm(near, texts, words, similarity, int(sure))
+        links = confirm(near, texts, words, similarity, sure)
     # Rows of one id are one document, whatever their texts.
     several = prints.filter("id is not null").groupBy("id").agg(F.min("fingerprint").alias("p"), F.max("fingerprint").alias("q")).filter("p <> q").select("id")
     several = prints.join(several, "id").join(nodes, "fingerprint").select(F.col("node").alias("a"), F.col("id").cast("long").alias("b"))
