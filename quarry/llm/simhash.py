@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ from .common import components, cut, mix, slices, whole_text
 
 #: Members up to which all pairs of a bucket are verified in one go.
 BUCKET = 64
+#: Distinct shingles of a text up to which its near copies are found on the shingles.
+FEW = 50
 #: 64-bit lanes of a fingerprint that go into the buckets.
 LANES = 4
 #: Members of a block, where larger buckets are compared block by block.
@@ -80,18 +82,24 @@ def majority_bits(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint binary) of every whole text; one pass, no shuffle."""
+def fingerprints(df: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(id, fingerprint binary) of every whole text; one pass, no shuffle. With
+    `distinct` of its distinct shingles, and (few binary) these, if FEW at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                texts = part.column("_text").cast(pa.binary()).to_pylist()
-                found = majority_bits([shingle_hashes(t, words) for t in texts], bits)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([r.tobytes() for r in found], pa.binary())], ["id", "fingerprint"])
+                hashes = [shingle_hashes(t, words) for t in part.column("_text").cast(pa.binary()).to_pylist()]
+                if distinct:
+                    hashes = [np.unique(h) for h in hashes]
+                found = {"id": part.column("_id"), "fingerprint": pa.array([r.tobytes() for r in majority_bits(hashes, bits)], pa.binary())}
+                if distinct:
+                    found["few"] = pa.array([h.tobytes() if 0 < len(h) <= FEW else None for h in hashes], pa.binary())
+                yield pa.RecordBatch.from_pydict(found)
 
     rows = df.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, fingerprint binary").withColumnRenamed("id", id_col)
+    kind = f"id {df.schema[id_col].dataType.simpleString()}, fingerprint binary" + (", few binary" if distinct else "")
+    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -239,7 +247,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1)
 
 
-def forest(n: int, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+def forest(n: int, a: Iterable[int], b: Iterable[int]) -> Iterator[tuple[int, int]]:
     """Of the given links among n nodes those of a spanning forest."""
     up = list(range(n))
 
@@ -321,6 +329,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(both[a], pa.int64()), pa.array(both[b], pa.int64()), pa.array(_distances(x[a], x[b]).astype(np.int32))], ["a", "b", "apart"])
 
 
+def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(ln, lx, rn, rx): nodes and values of all pairs of blocks of the buckets that
+    `keys` name, the right ones empty where a block meets itself. `rows`: keys, node, value, size."""
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", keys[0]), F.col("n_blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    pairs = pairs.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", value)
+    grouped = pairs.groupBy(*keys, "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), value, "lx"), (F.col("second"), "node", "rn"), (F.col("second"), value, "rx"))))
+    return grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0)).select("ln", "lx", "rn", "rx")
+
+
 def lanes(bits: int) -> int:
     return min(LANES, bits // 64)
 
@@ -378,14 +397,46 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
         shared_by = hot.select("node", F.col("s0").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
         return links.unionByName(shared_by.select(F.array_min("n").alias("a"), F.explode("n").alias("b"), F.lit(0).alias("apart")).filter("a <> b"))
     hot = hot.join(prints.select("node", "fingerprint"), "node")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = hot.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", "part"), F.col("n_blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = pairs.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "fingerprint")
-    grouped = pairs.groupBy("part", "key", "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), "fingerprint", "lx"), (F.col("second"), "node", "rn"), (F.col("second"), "fingerprint", "rx"))))
-    grouped = grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0))
+    grouped = _dealt(hot, ["part", "key"], "fingerprint")
     firm = tau if sure is None else sure
-    return links.unionByName(grouped.select("ln", "lx", "rn", "rx").mapInArrow(lambda it: _blocks(it, firm, tau), "a long, b long, apart int"))
+    return links.unionByName(grouped.mapInArrow(lambda it: _blocks(it, firm, tau), "a long, b long, apart int"))
+
+
+def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes that have `few`
+    shingles and share `similarity` of them (Jaccard). Sets so alike share one of the
+    first of their shingles in order, as many as may be lacking and one."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(v, np.uint64) for v in batch.column(1).to_pylist()]
+            first = [u[: len(u) - math.ceil(similarity * len(u) - 1e-9) + 1] for u in sets]
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(u) for u in first]))
+            key = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(of), batch.column(1).take(of)], ["key", "node", "few"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, lx, right, rx in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                both, n = left + right, len(left)
+                sets = [frozenset(np.frombuffer(v, np.uint64).tolist()) for v in lx + rx]
+
+                def near(n: int = n, sets: list = sets, across: bool = bool(right)) -> Iterator[tuple[int, int]]:
+                    for i in range(n):
+                        for j in range(n if across else i + 1, len(sets)):
+                            u, v = sets[i], sets[j]
+                            if min(len(u), len(v)) >= similarity * max(len(u), len(v)):
+                                common = len(u & v)
+                                if common >= similarity * (len(u) + len(v) - common):
+                                    yield i, j
+
+                p, q = itertools.tee(near())
+                kept = list(forest(len(both), (i for i, _ in p), (j for _, j in q)))
+                yield pa.RecordBatch.from_arrays([pa.array([both[k[c]] for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    rows = nodes.filter("few is not null").select("node", "few").mapInArrow(keys, "key long, node long, few binary")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return _dealt(rows.join(sizes, "key"), ["key"], "few").mapInArrow(alike, "a long, b long")
 
 
 def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
@@ -428,13 +479,15 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2,
     Component: the least id that links of `tau` bits or fewer reach, the row's
     own included. With `similarity` a link must also share so much of its shingles;
     this is checked on the texts, unless the fingerprints are so near that it is
-    beyond doubt, whatever the size of their bucket. Rows of equal fingerprints are one node. Null and empty texts
+    beyond doubt, whatever the size of their bucket; fingerprints are then those of
+    the distinct shingles, and texts of few shingles are compared on these. Rows of equal fingerprints are one node. Null and empty texts
     have fingerprint zero; repeated rows are kept, rows of one id are one
     document; a row without id links to nothing and has no component; other
     columns are left out; an empty table gives no rows.
     """
-    prints = cut(fingerprints(df, words, bits, id_col, text_col).withColumnRenamed(id_col, "id"))
-    nodes = cut(prints.filter("id is not null").groupBy("fingerprint").agg(F.min(F.col("id").cast("long")).alias("node")))
+    prints = cut(fingerprints(df, words, bits, id_col, text_col, similarity is not None).withColumnRenamed(id_col, "id"))
+    few = [] if similarity is None else [F.max("few").alias("few")]
+    nodes = cut(prints.filter("id is not null").groupBy("fingerprint").agg(F.min(F.col("id").cast("long")).alias("node"), *few))
     if similarity is None:
         links = near_links(nodes, bits, tau, guaranteed, choices).select("a", "b")
     else:
@@ -442,7 +495,7 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2,
         sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
         near = cut(near_links(nodes, bits, tau, guaranteed, choices, sure))
         texts = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-        links = confirm(near, texts, words, similarity, sure)
+        links = confirm(near, texts, words, similarity, sure).unionByName(few_links(nodes, similarity))
     # Rows of one id are one document, whatever their texts.
     several = prints.filter("id is not null").groupBy("id").agg(F.min("fingerprint").alias("p"), F.max("fingerprint").alias("q")).filter("p <> q").select("id")
     several = prints.join(several, "id").join(nodes, "fingerprint").select(F.col("node").alias("a"), F.col("id").cast("long").alias("b"))

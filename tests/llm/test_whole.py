@@ -27,3 +27,17 @@ def test_near_copies_are_the_same_in_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 1)
     large = near(spark, texts)
     assert small == large and all(large[2 * i + 1] == (2 * i if a else 2 * i + 1) for i, a in enumerate(alike))
+
+
+def test_repeated_lines_and_short_texts_have_near_copies(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long = words(204)
+    line = " ".join(long[40:60])
+    texts = [" ".join(long), "\n".join([" ".join(long), *[line] * 29])]
+    for _ in range(20):
+        short = words(9)
+        texts += [" ".join(short[:8]), " ".join(short)]
+    texts += [" ".join(short[:7])]
+    found = near(spark, texts)
+    assert all(found[i] == i - i % 2 for i in range(len(texts)))
