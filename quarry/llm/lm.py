@@ -28,8 +28,6 @@ OUTPUT_WORDS, FREQUENT = 1_000, 100_000
 LONGEST = 64
 #: Texts from which the network starts, and the bytes of each at most.
 WARM_TEXTS, WARM_BYTES = 600, 20_000
-#: One window in so many is learnt from in the pass over all training texts.
-EVERY = 4
 SLICES = 64
 #: Distinct words that a task gathers before it sends their counts; bytes of text that a network takes at a time.
 GATHERED, TOGETHER = 300_000, 8 << 20
@@ -149,7 +147,7 @@ def train(texts: DataFrame, voc: Vocabulary) -> np.ndarray:
         voc, flat, sums = sent.value
         net, n = gru.Network(voc.lay, unpack_like(flat, voc), unpack_like(sums, voc)), 0
         for batch in _together(batches):
-            n += net.learn([voc.tokens(t)[0] for t in _texts(batch)], EVERY)
+            n += net.learn([voc.tokens(t)[0] for t in _texts(batch)])
         if n:
             parts = np.array_split(gru.pack(net.p), SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(n)] * SLICES), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["slice", "weight", "part"])

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from quarry.llm import simhash
+from quarry.llm import gru, lm, simhash
 
 
 def near(spark, texts):
@@ -41,3 +41,13 @@ def test_repeated_lines_and_short_texts_have_near_copies(spark):
     texts += [" ".join(short[:7])]
     found = near(spark, texts)
     assert all(found[i] == i - i % 2 for i in range(len(texts)))
+
+
+def test_every_window_is_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM_TEXTS", 0)
+    texts = spark.createDataFrame([("1", " ".join(f"w{i}" for i in range(80)))], "_order string, _text string")
+    voc = lm.vocabulary(lm.word_counts(texts), 1)
+    start = gru.init(voc.lay, voc.counts, voc.bucket_size)
+    learnt = gru.unpack(lm.train(texts, voc), start)
+    moved = (learnt["input"] != start["input"]).any(1)
+    assert len(voc.index) == 80 and moved[voc.token[:80]].all()
