@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
-CLASSES = 30
-BUCKETS = 16
+HIDDEN = 24
+CLASSES = 40
+BUCKETS = 32
 
 
 @dataclass

@@ -8,6 +8,7 @@ own texts, and the tasks' parameters are averaged slice by slice.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import bounded_sample, buffers, cut, most_frequent, remainder, slices, whole_text
 
-#: Words with outputs of their own, and those whose counts are broadcast.
-OUTPUT_WORDS, FREQUENT = 1_000, 100_000
+#: Words with outputs of their own at least, and those whose counts are broadcast.
+OUTPUT_WORDS, FREQUENT = 2_000, 150_000
+#: One output for so many distinct words of the corpus, and the outputs at most: about 6 MB of parameters.
+WORDS_AN_OUTPUT, MOST_OUTPUTS = 64, 16_000
 #: Words longer than this are never broadcast, so the table's size is bounded.
 LONGEST = 64
 #: Texts from which the network starts, and the bytes of each at most.
@@ -34,8 +37,8 @@ GATHERED, TOGETHER = 300_000, 8 << 20
 
 
 def bucket(word: bytes) -> int:
-    """A rare word's bucket: by its last byte, which tells languages apart."""
-    return word[-1] % gru.BUCKETS
+    """A rare word's bucket: by its last two bytes, which tell languages and endings apart."""
+    return zlib.crc32(word[-2:]) % gru.BUCKETS
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From counts of all words; only FREQUENT words and BUCKETS sums are collected."""
     top = most_frequent(counts.filter(F.octet_length("word") <= LONGEST), "n", FREQUENT).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, n = [bytes(w) for w in top.word], top.n.to_numpy(np.int64)
-    own = words[:OUTPUT_WORDS]
+    own = words[: max(OUTPUT_WORDS, min(MOST_OUTPUTS, counts.count() // WORDS_AN_OUTPUT))]
     skip = set(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     rows = counts.select("word", "n").mapInArrow(run, "bucket int, n long, words long, own long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toPandas().set_index("bucket").reindex(range(gru.BUCKETS), fill_value=0)
     rest, rest_words = rows.n.to_numpy(np.int64), rows.words.to_numpy(np.int64)
     own_counts = np.concatenate([[ends], n[: len(own)]]).astype(np.int64)
-    lay = gru.layout(own_counts)
+    lay = gru.layout(own_counts, max(gru.CLASSES, round(len(own_counts) ** 0.5)))
     token = np.array([i + 1 if i < len(own) else len(own) + 1 + bucket(w) for i, w in enumerate(words)] + [0], np.int32)
     total = int(own_counts.sum() + rest.sum())
     distinct = int(len(own) + rest_words.sum() + (ends > 0))

@@ -51,3 +51,9 @@ def test_every_window_is_learnt_from(spark, monkeypatch):
     learnt = gru.unpack(lm.train(texts, voc), start)
     moved = (learnt["input"] != start["input"]).any(1)
     assert len(voc.index) == 80 and moved[voc.token[:80]].all()
+
+
+def test_outputs_grow_with_the_corpus(spark):
+    counts = spark.range(400_000).selectExpr("cast(concat('w', id) as binary) word", "1 + 10000000 div (id + 1) n")
+    assert lm.vocabulary(counts, 1).lay.n_words == 400_000 // 64
+    assert len({lm.bucket(w + b"n") for w in (b"a", b"e", b"i", b"o")}) > 1
