@@ -9,6 +9,7 @@ ones through a tree of their own.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import sys
@@ -23,38 +24,53 @@ from pyspark.sql import functions as F
 from .common import slices, whole_text
 
 NONE = np.int64(1 << 62)
-#: Pieces of up to so many symbols share an array of trees.
-SHORT = 64
-#: Words and pieces of a worker's cache, in each of two generations.
-WORDS, PIECES = 100_000, 130_000
+#: Pieces of up to so many symbols share an array of trees; bits of a place in these,
+#: and leaves of one such array.
+SHORT, PLACE, ROOM = 64, 7, 1 << 16
+#: Bytes of a worker's caches of words and of pieces, in each of two generations, and
+#: what an entry takes besides its strings. One portion of text may go beyond.
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 64 << 20, 32 << 20, 300
+#: Bytes of text that a worker encodes at a time.
+PORTION = 4 << 20
 
 
 class Kept:
-    """A cache in two generations: when the newer is full it becomes the older, whose
-    entries come back as they are asked for and are forgotten otherwise."""
+    """A cache of (ids, text) in two generations: when the newer is full it becomes the
+    older, whose entries come back as they are asked for and are forgotten otherwise."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.held = most, 0
+        self.ids: dict = {}
+        self.texts: dict = {}
+        self.older = self.ids, self.texts
+
+    def put(self, key: str | bytes | int, ids: bytes, text: bytes) -> None:
+        self.ids[key], self.texts[key] = ids, text
+        self.held += ENTRY_BYTES + len(ids) + 2 * len(text)
 
     def missing(self, keys: Iterable) -> list:
-        """Those of a portion's distinct keys that have to be made; the others are in `new`."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if (value := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = value
+        """Those of a portion's distinct keys that have to be made; the others are kept."""
+        if self.held > self.most:
+            self.older, self.ids, self.texts, self.held = (self.ids, self.texts), {}, {}, 0
+        (old, old_texts), out = self.older, []
+        for k in itertools.filterfalse(self.ids.__contains__, keys):
+            if (ids := old.get(k)) is None:
+                out.append(k)
+            else:
+                self.put(k, ids, old_texts[k])
         return out
 
 
-#: Words of printable ASCII, and their pieces by the file's pattern: the library's
-#: normaliser and pre-tokeniser do no more to them, and take far longer.
-PLAIN = re.compile(rb"[!-~]+")
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Code points that may be plain: the normaliser joins none of them with a neighbour.
+PLAIN = (*range(0x21, 0x7F), *range(0xA1, 0x250))
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable bytes
+    stand for themselves, the others are numbered from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class Encoder:
@@ -92,7 +108,25 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made  # made is by rank
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
-        self.pieces = Kept(PIECES)
+        letters = byte_letters()
+        self.byte_of = {ord(c): b for c, b in letters.items()}
+        letter_of = {b: c for c, b in letters.items()}
+        self.inner = [self.vocab.get(letter_of[b]) for b in range(256)]
+        self.outer = [self.vocab.get(letter_of[b] + self.suffix) for b in range(256)]
+        self.pieces = Kept(PIECE_BYTES)
+        self._plain_rules()
+
+    def _plain_rules(self) -> None:
+        """The characters that the library lower-cases as Python does, and how it classes
+        them: a pattern of the standard library is far faster than its own calls."""
+        low = {cp: self.library.normalizer.normalize_str(chr(cp)) for cp in PLAIN}
+        plain = [cp for cp in PLAIN if low[cp] == chr(cp).lower() and ord(low[cp][0]) in low and len(low[cp]) == 1]
+        parts = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
+        results = sorted({low[cp] for cp in plain})
+        letters = "".join(c for c in results if parts("a" + c) == 1)
+        numbers = "".join(c for c in results if parts(c + c) == 2)
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|\n|[^{letters}{numbers}\n]+")
+        self.other = re.compile(f"^.*?(?:[^{re.escape(''.join(map(chr, plain)))}\n]" + ("|" + self.special_pattern.pattern if self.special_pattern else "") + ").*$", re.M)
 
     # -- one pair, many pairs -------------------------------------------------
 
@@ -110,60 +144,67 @@ class Encoder:
         for high in (2, 4, 8, 16, 32, SHORT):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
             low = high
-            for a in range(0, len(rows), 1 << 15):
-                part = rows[a : a + (1 << 15)]
-                for i, ids in zip(part.tolist(), self._merge_rows([pieces[i] for i in part.tolist()], sizes[part], high)):
+            step = ROOM // high  # so that an array of trees stays in the processor's cache
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step].tolist()
+                for i, ids in zip(part, self._merge_rows([pieces[i] for i in part], sizes[part], high)):
                     out[i] = ids
+        for i in np.flatnonzero(sizes == 1).tolist():
+            out[i] = pieces[i]
         return out
 
     def _merge_rows(self, pieces: list[list[int]], sizes: np.ndarray, width: int) -> list[list[int]]:
-        n = len(pieces)
+        """A row of symbols and a tree of `width` leaves for each piece, all in flat arrays."""
+        n, none = len(pieces), np.int32(1 << 30)
         sym = np.full((n, width + 1), -1, np.int64)
         inside = np.arange(width + 1) < sizes[:, None]
-        sym[inside] = np.fromiter((s for p in pieces for s in p), np.int64, int(sizes.sum()))
-        nxt = np.tile(np.arange(1, width + 2), (n, 1))
-        prv = np.tile(np.arange(-1, width + 1), (n, 1))
-        tree = np.full((n, 2 * width), NONE, np.int64)
-        at = np.arange(width)
+        sym[inside] = np.fromiter(itertools.chain.from_iterable(pieces), np.int64, int(sizes.sum()))
+        nxt = np.tile(np.arange(1, width + 2), n)
+        prv = np.tile(np.arange(-1, width), n)
+        tree = np.full((n, 2 * width), none, np.int32)
         pair = inside[:, 1:]
         rank = self._rank(sym[:, :-1][pair], sym[:, 1:][pair])
-        tree[:, width:][pair] = np.where(rank >= 0, rank << 32 | np.broadcast_to(at, (n, width))[pair], NONE)
+        tree[:, width:][pair] = np.where(rank >= 0, rank << PLACE | np.broadcast_to(np.arange(width), (n, width))[pair], none)
         span = width
         while span > 1:
             tree[:, span // 2 : span] = np.minimum(tree[:, span : 2 * span : 2], tree[:, span + 1 : 2 * span : 2])
             span //= 2
+        sym, tree = sym.ravel(), tree.ravel()
 
-        def put(rows: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
-            node = leaf + width
-            tree[rows, node] = value
-            for _ in range(width.bit_length() - 1):
-                node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-
-        def key(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            rank = self._rank(sym[rows, i], sym[rows, j])
-            return np.where((j < sizes[rows]) & (rank >= 0), rank << 32 | i, NONE)
+        def key(at: np.ndarray, i: np.ndarray, j: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            rank = self._rank(sym[at + i], sym[at + j])
+            return np.where((j < ends) & (rank >= 0), rank << PLACE | i, none)
 
-        rows = np.flatnonzero(tree[:, 1] < NONE)
+        rows = np.flatnonzero(tree[1 :: 2 * width] < none)
         while len(rows):
-            root = tree[rows, 1]
-            i, rank = root & 0xFFFFFFFF, root >> 32
-            j = nxt[rows, i]
-            sym[rows, i], sym[rows, j] = self.made[rank], -1
-            k = nxt[rows, j]
-            nxt[rows, i] = k
-            prv[rows, np.minimum(k, width)] = i
-            put(rows, j[:], np.full(len(rows), NONE)) if width > 1 else None
-            put(rows, i, key(rows, i, np.minimum(k, width)))
-            h = prv[rows, i]
+            at, up, ends = rows * (width + 1), rows * (2 * width), sizes[rows]
+            root = tree[up + 1].astype(np.int64)
+            i, rank = root & (1 << PLACE) - 1, root >> PLACE
+            j = nxt[at + i]
+            sym[at + i], sym[at + j] = self.made[rank], -1
+            k = nxt[at + j]
+            nxt[at + i] = k
+            k = np.minimum(k, width)
+            prv[at + k] = i
+            h = prv[at + i]
             left = h >= 0
-            put(rows[left], h[left], key(rows[left], h[left], i[left]))
-            rows = rows[tree[rows, 1] < NONE]
-        flat, keep = sym, sym >= 0
-        counts = keep.sum(1)
-        ids = flat[keep].tolist()
-        ends = np.cumsum(counts).tolist()
-        return [ids[e - c : e] for e, c in zip(ends, counts.tolist())]
+            some = up[left]
+            # three leaves change; every level above is brought up to date at once
+            node = np.concatenate([j, i, h[left]]) + width
+            tree_of = np.concatenate([up, up, some])
+            leaf = np.concatenate([np.full(len(rows), none), key(at, i, k, ends), key(at[left], h[left], i[left], ends[left])])
+            within = node < 2 * width  # the last symbol of a full row starts no pair
+            node, tree_of = node[within], tree_of[within]
+            tree[tree_of + node] = leaf[within]
+            for _ in range(width.bit_length() - 1):
+                node >>= 1
+                child = tree_of + 2 * node
+                tree[tree_of + node] = np.minimum(tree[child], tree[child + 1])
+            rows = rows[tree[up + 1] < none]
+        sym = sym.reshape(n, width + 1)
+        keep = sym >= 0
+        ids, ends = sym[keep].tolist(), np.cumsum(keep.sum(1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def merge_one(self, symbols: list[int]) -> list[int]:
         """Merged symbols of one piece of any length."""
@@ -207,10 +248,25 @@ class Encoder:
 
     # -- words ----------------------------------------------------------------
 
-    def _pieces(self, word: bytes) -> list[str | int]:
-        if PLAIN.fullmatch(word) and b"<|" not in word:
-            return ASCII_PIECES.findall(word.lower().decode())
-        return list(self._other_pieces(word.decode("utf-8")))
+    def _plans(self, words: list[bytes]) -> list[list[str | int]]:
+        """The pieces of each word, special strings as ids."""
+        lines = b"\n".join(words).decode("utf-8")
+        texts = lines.split("\n")
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        odd = np.searchsorted(starts, [m.start() for m in self.other.finditer(lines)], "right") - 1
+        apart = {i: list(self._other_pieces(texts[i])) for i in odd.tolist()}
+        for i in apart:
+            texts[i] = ""
+        plans: list[list[str | int]] = [[]]
+        last = plans[0]
+        for piece in self.cut.findall("\n".join(texts).lower()):
+            if piece == "\n":
+                plans.append(last := [])
+            else:
+                last.append(piece)
+        for i, own in apart.items():
+            plans[i] = own
+        return plans
 
     def _other_pieces(self, word: str) -> Iterator[str | int]:
         parts = self.special_pattern.split(word) if self.special_pattern else [word]
@@ -219,11 +275,12 @@ class Encoder:
                 yield self.special[part]
             elif part:
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    yield piece
+                    yield bytes(map(self.byte_of.__getitem__, map(ord, piece))).decode("utf-8")
 
     def _symbols(self, piece: str) -> list[int]:
-        letters = [*piece[:-1], piece[-1] + self.suffix]
-        return [i for i in map(self.vocab.get, letters) if i is not None]
+        raw = piece.encode("utf-8")
+        ids = [self.inner[b] for b in raw[:-1]] + [self.outer[raw[-1]]]
+        return ids if None not in ids else [i for i in ids if i is not None]
 
     def _code(self, ids: Iterable[int]) -> tuple[bytes, bytes]:
         raw = array("I", ids)
@@ -231,27 +288,28 @@ class Encoder:
             raw.byteswap()
         return raw.tobytes(), " ".join([self.strings[i] for i in ids]).encode("utf-8")
 
-    def code_words(self, words: Iterable[bytes]) -> list[tuple[bytes, bytes]]:
+    def code_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Of each word, which has no ASCII white space, the ids as unsigned 32-bit
         integers and the decoded text. Pieces are kept from call to call."""
-        plans = [self._pieces(word) for word in words]
-        todo = {p: self._symbols(p) if isinstance(p, str) else [p] for p in self.pieces.missing({p for plan in plans for p in plan})}
-        known = self.pieces.new
+        if not words:
+            return []
+        plans = self._plans(words)
+        todo = {p: self._symbols(p) if isinstance(p, str) else [p] for p in self.pieces.missing(set(itertools.chain.from_iterable(plans)))}
         short = [p for p, s in todo.items() if len(s) <= SHORT]
-        known.update(zip(short, map(self._code, self.merge_many([todo[p] for p in short]))))
+        for p, ids in zip(short, self.merge_many([todo[p] for p in short])):
+            self.pieces.put(p, *self._code(ids))
         for p, s in todo.items():
             if len(s) > SHORT:
-                known[p] = self._code(self.merge_one(s))
-        out = []
+                self.pieces.put(p, *self._code(self.merge_one(s)))
+        ids, texts, out = self.pieces.ids, self.pieces.texts, []
         for plan in plans:
             if len(plan) == 1:
-                out.append(known[plan[0]])
+                out.append((ids[plan[0]], texts[plan[0]]))
             else:
-                parts = [known[p] for p in plan]
-                out.append((b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])))
+                out.append((b"".join([ids[p] for p in plan]), b" ".join([texts[p] for p in plan])))
         return out
 
-    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         return [np.frombuffer(ids, "<u4").tolist() for ids, _ in self.code_words(words)]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -274,14 +332,19 @@ def encode_texts(texts: list[bytes], path: str) -> Iterator[tuple[bytes, bytes]]
     """For each text its ids as little-endian unsigned 32-bit integers and the
     decoded text in UTF-8. Words that are not in the worker's cache are encoded
     together first."""
-    enc, kept = encoder(path), _WORDS.setdefault(path, Kept(WORDS))
+    enc, kept = encoder(path), _WORDS.setdefault(path, Kept(WORD_BYTES))
     split = [t.split() for t in texts]
-    new = kept.missing(set().union(*split))
-    cache = kept.new
-    cache.update(zip(new, enc.code_words(new)))
+    distinct = set().union(*split)
+    new = kept.missing(distinct)
+    for word, (ids, text) in zip(new, enc.code_words(new)):
+        kept.put(word, ids, text)
+    ids_of, text_of = kept.ids.__getitem__, kept.texts.__getitem__
+    # words of other white space alone have no ids, and no place in the decoded text
+    bare = {w for w in distinct if not ids_of(w)}
     for words in split:
-        parts = [cache[w] for w in words]
-        yield b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
+        if bare:
+            words = [w for w in words if w not in bare]
+        yield b"".join(map(ids_of, words)), b" ".join(map(text_of, words))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +358,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PORTION):
                 texts = part.column("_text").cast(pa.binary()).to_pylist()
                 both = list(encode_texts(texts, path))
                 yield pa.RecordBatch.from_arrays(
