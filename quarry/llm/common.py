@@ -82,7 +82,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, one row at least."""
     offsets, start, n = buffers(batch.column(column))[1], 0, batch.num_rows
     while start < n:
