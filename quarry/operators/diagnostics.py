@@ -66,7 +66,7 @@ def with_quality(chunks: DataFrame) -> DataFrame:
 
 def summary_line(stats: DataFrame) -> DataFrame:
     """Adds a line of text about each row of statistics."""
-    line = F.format_string("%d chunks | Avg: %.0f chars | Total: %s chars | ~%d tokens", "total_chunks", "avg_chunk_size", F.format_number("total_characters", 0), "total_tokens_est")
+    line = F.format_string("%d chunks, %.0f characters on average, %s in all, about %d tokens", "total_chunks", "avg_chunk_size", F.format_number("total_characters", 0), "total_tokens_est")
     return stats.withColumn("summary", line)
 
 
@@ -80,10 +80,10 @@ def recommend(text: Column) -> Column:
 
     # The ranges for each class of length.
     return (
-        F.when(F.length(text) == 0, row(None, None, None, "Load text to see recommendations"))
-        .when(tokens < 500, row("100-150", "15-20%", "3-5", "Small document - use precise chunks"))
-        .when(tokens < 2000, row("200-300", "10-15%", "8-15", "Medium document - balanced approach"))
-        .otherwise(row("300-500", "10-15%", "15+", "Large document - consider larger chunks"))
+        F.when(F.length(text) == 0, row(None, None, None, "no text yet: nothing to go by"))
+        .when(tokens < 500, row("100-150", "15-20%", "3-5", "short text: keep chunks narrow"))
+        .when(tokens < 2000, row("200-300", "10-15%", "8-15", "middling text: neither narrow nor wide"))
+        .otherwise(row("300-500", "10-15%", "15+", "long text: wider chunks cost less"))
     )
 
 

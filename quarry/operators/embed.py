@@ -1,12 +1,15 @@
-"""Embeddings: a hashing embedder of built-in functions, embedders of your own in
-Arrow batches, reuse of vectors by text."""
+"""Embeddings: a hashing embedder in Arrow batches and of built-in functions, embedders
+of your own, reuse of vectors by text."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,39 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \n]+", -1), lambda w: F.length(w) > 0)
 
 
+#: Terms whose dimension a worker remembers.
+REMEMBERED = 200_000
+
+
+def hashing_embedder(dimensions: int = DIMENSIONS):
+    """As hashing_embedding(), as a function of Arrow batches: a term is hashed once, and
+    all counts of a batch are one histogram. A null text has zeros, like an empty one."""
+
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places: dict[str, int] = {}
+        for texts in parts:
+            found: list[int] = []
+            for row, text in enumerate(texts.to_pylist()):
+                for w in (text or "").replace("\n", " ").split(" "):
+                    if w:
+                        if (place := places.get(w)) is None:
+                            if len(places) >= REMEMBERED:
+                                places.clear()
+                            place = places[w] = int(md5(w.encode("utf-8")).hexdigest()[:7], 16) % dimensions
+                        found.append(row * dimensions + place)
+            counts = np.bincount(np.array(found, np.int64), minlength=len(texts) * dimensions).reshape(-1, dimensions).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+            vectors = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * dimensions
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
+
+    return lambda text: run(F.lower(text))
+
+
 def hashing_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Term counts in hashed dimensions, of length one; zeros for a text without terms."""
+    """Term counts in hashed dimensions, of length one; zeros for a text without terms.
+    By built-in functions alone, for plans without Python; long texts take far longer."""
     from quarry.functions.text import let
 
     place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"), F.lit(dimensions))
@@ -53,7 +87,7 @@ def embedder_udf(connect: Callable[[], Callable[[list[str]], Iterable[Iterable[f
 
 def embed(df: DataFrame, embedder=None, text_col: str = "text", vector_col: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
     """Adds a vector to every row: the hashing embedder's, or that of a function."""
-    return df.withColumn(vector_col, hashing_embedding(F.col(text_col), dimensions) if embedder is None else embedder(F.col(text_col)))
+    return df.withColumn(vector_col, (embedder or hashing_embedder(dimensions))(F.col(text_col)))
 
 
 def embed_distinct(df: DataFrame, embedder=None, text_col: str = "text", vector_col: str = "embedding", known: DataFrame | None = None) -> DataFrame:

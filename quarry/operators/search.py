@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.shared import settled
+
 #: Values of query vectors that are broadcast at a time; more queries take several passes.
 BROADCAST_VALUES = 4_000_000
 TOP_K, PROMPT_K = 5, 3
@@ -167,15 +169,22 @@ class VectorStore:
 
     def add_frame(self, chunks: DataFrame, order: tuple[str, ...] = ("doc_id", "chunk_index")) -> None:
         """Adds (chunk_index, text, embedding) rows; ids follow the given order."""
-        from pyspark.sql.types import LongType, StructField, StructType
-
-        numbered = chunks.orderBy(*order).select("chunk_index", "text", F.col("embedding").cast("array<float>").alias("embedding"))
-        schema = StructType([StructField("chunk_id", LongType()), *numbered.schema.fields])
-        first = self._next
-        rows = self.spark.createDataFrame(numbered.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])), schema)
+        ordered = chunks.orderBy(*order).select("chunk_index", "text", F.col("embedding").cast("array<float>").alias("embedding"))
+        # the place within a partition and, from a count of each, where the partition begins
+        placed = settled(ordered.withColumn("_at", F.monotonically_increasing_id()))
+        part = F.shiftright("_at", 33)
+        begins, first = [], self._next
+        for r in sorted(placed.groupBy(part.alias("part")).count().collect(), key=lambda r: r.part):
+            begins.append((r.part, first))
+            first += r["count"]
+        if not begins:
+            return
+        starts = self.spark.createDataFrame(begins, "_part long, _begin long")
+        rows = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+        rows = rows.select((F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("chunk_id"), "chunk_index", "text", "embedding")
         rows = rows.withColumn("metadata", F.create_map(F.lit("chunk_id"), F.col("chunk_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string")))
         self._rows = self._rows.unionByName(rows)
-        self._next += rows.count()
+        self._next = first
 
     def frame(self) -> DataFrame:
         return self._rows

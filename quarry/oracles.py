@@ -162,10 +162,9 @@ NUMBERED = f"""SELECT query_id, concat('You are a helpful assistant. Answer ques
 
 GRID = """SELECT s::INTEGER AS chunk_size, p::INTEGER AS overlap_percent, trunc(s * (p / 100.0::DOUBLE))::INTEGER AS overlap_tokens, trunc(s * p::DOUBLE / 100.0::DOUBLE)::INTEGER AS export_overlap_tokens
   FROM range(50, 1001, 50) a(s), range(0, 51, 5) b(p)"""
-LANGCHAIN = """'from langchain.text_splitter import RecursiveCharacterTextSplitter' || chr(10) || chr(10) || 'splitter = RecursiveCharacterTextSplitter(' || chr(10) || '    chunk_size=' || chunk_size * 4 || ',  # ~' || chunk_size || ' tokens' || chr(10)
-  || '    chunk_overlap=' || overlap_tokens * 4 || ',' || chr(10) || '    length_function=len,' || chr(10) || ')' || chr(10)"""
-LLAMAINDEX = """'from llama_index.core.node_parser import SentenceSplitter' || chr(10) || chr(10) || 'splitter = SentenceSplitter(' || chr(10) || '    chunk_size=' || chunk_size * 4 || ',' || chr(10)
-  || '    chunk_overlap=' || overlap_tokens * 4 || ',' || chr(10) || ')' || chr(10)"""
+LANGCHAIN = """'from langchain_text_splitters import RecursiveCharacterTextSplitter' || chr(10) || chr(10) || '# chunks of about ' || chunk_size || ' tokens' || chr(10)
+  || 'splitter = RecursiveCharacterTextSplitter(chunk_size=' || chunk_size * 4 || ', chunk_overlap=' || overlap_tokens * 4 || ')' || chr(10)"""
+LLAMAINDEX = """'from llama_index.core.node_parser import SentenceSplitter' || chr(10) || chr(10) || 'parser = SentenceSplitter(chunk_size=' || chunk_size * 4 || ', chunk_overlap=' || overlap_tokens * 4 || ')' || chr(10)"""
 EXPORT = f"""SELECT chunk_size, overlap_percent, '{{"strategy":"token","chunk_size":' || chunk_size || ',"overlap_percent":' || overlap_percent || ',"overlap_tokens":' || overlap_tokens || '}}' AS json,
   {LANGCHAIN} AS langchain, {LLAMAINDEX} AS llamaindex FROM ({GRID})"""
 
@@ -195,7 +194,7 @@ ORACLES: dict[str, str] = {
                    CASE WHEN length(text) // 4 < 50 THEN 'SHORT' WHEN length(text) // 4 > 600 THEN 'LONG' END AS length_flag, regexp_matches(text, '^\\s*\\p{{Ll}}') AS starts_lower FROM ({sentence(100, 0)}))""",
     "recommend_params": """SELECT doc_id, CASE WHEN n = 0 THEN NULL WHEN n // 4 < 500 THEN '100-150' WHEN n // 4 < 2000 THEN '200-300' ELSE '300-500' END AS size, CASE WHEN n = 0 THEN NULL WHEN n // 4 < 500 THEN '15-20%' ELSE '10-15%' END AS overlap,
       CASE WHEN n = 0 THEN NULL WHEN n // 4 < 500 THEN '3-5' WHEN n // 4 < 2000 THEN '8-15' ELSE '15+' END AS expected_chunks,
-      CASE WHEN n = 0 THEN 'Load text to see recommendations' WHEN n // 4 < 500 THEN 'Small document - use precise chunks' WHEN n // 4 < 2000 THEN 'Medium document - balanced approach' ELSE 'Large document - consider larger chunks' END AS tip
+      CASE WHEN n = 0 THEN 'no text yet: nothing to go by' WHEN n // 4 < 500 THEN 'short text: keep chunks narrow' WHEN n // 4 < 2000 THEN 'middling text: neither narrow nor wide' ELSE 'long text: wider chunks cost less' END AS tip
       FROM (SELECT doc_id, length(text) AS n FROM documents)""",
     "clean_newlines": clean_query("newlines", "newline_runs", "line_ends"),
     "clean_spaces": clean_query("spaces"),

@@ -10,22 +10,9 @@ from pyspark.sql import functions as F
 
 SIZES, OVERLAPS = range(50, 1001, 50), range(0, 51, 5)
 
-# The texts that two libraries' users paste.
-LANGCHAIN = """from langchain.text_splitter import RecursiveCharacterTextSplitter
-
-splitter = RecursiveCharacterTextSplitter(
-    chunk_size=%d,  # ~%d tokens
-    chunk_overlap=%d,
-    length_function=len,
-)
-"""
-LLAMAINDEX = """from llama_index.core.node_parser import SentenceSplitter
-
-splitter = SentenceSplitter(
-    chunk_size=%d,
-    chunk_overlap=%d,
-)
-"""
+#: What users of two libraries paste; both take characters, four a token.
+LANGCHAIN = "from langchain_text_splitters import RecursiveCharacterTextSplitter\n\n# chunks of about %d tokens\nsplitter = RecursiveCharacterTextSplitter(chunk_size=%d, chunk_overlap=%d)\n"
+LLAMAINDEX = "from llama_index.core.node_parser import SentenceSplitter\n\nparser = SentenceSplitter(chunk_size=%d, chunk_overlap=%d)\n"
 
 
 @dataclass
@@ -46,7 +33,7 @@ class ChunkConfig:
         return json.dumps(self.to_dict(), indent=2)
 
     def to_langchain(self) -> str:
-        return LANGCHAIN % (self.chunk_size * 4, self.chunk_size, self.overlap_tokens * 4)
+        return LANGCHAIN % (self.chunk_size, self.chunk_size * 4, self.overlap_tokens * 4)
 
     def to_llamaindex(self) -> str:
         return LLAMAINDEX % (self.chunk_size * 4, self.overlap_tokens * 4)
@@ -65,7 +52,7 @@ def export_column(form: str) -> Column:
     if form == "json":
         return F.to_json(F.struct("strategy", "chunk_size", "overlap_percent", "overlap_tokens"))
     if form == "langchain":
-        return F.format_string(LANGCHAIN, size * 4, size, overlap * 4)
+        return F.format_string(LANGCHAIN, size, size * 4, overlap * 4)
     if form == "llamaindex":
         return F.format_string(LLAMAINDEX, size * 4, overlap * 4)
     raise ValueError(f"unknown format: {form}")

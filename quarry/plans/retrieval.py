@@ -14,8 +14,11 @@ from .config import ChunkConfig
 
 
 def chunk_id(doc: str = "doc_id", index: str = "chunk_index"):
-    """One number a chunk, in the order of documents and chunks: 2^24 chunks a document."""
-    return F.col(doc).cast("long") * (1 << 24) + F.col(index)
+    """One number a chunk, in the order of documents and chunks: 2^24 chunks a document,
+    ids below 2^39. Anything beyond is an error, not another chunk's number."""
+    d, i = F.col(doc).cast("long"), F.col(index)
+    within = (F.abs(d) < 1 << 39) & (i < 1 << 24)
+    return F.when(within | d.isNull(), d * (1 << 24) + i).otherwise(F.raise_error(F.lit("chunk_id: an id of 2^39 or more, or 2^24 chunks of one document")))
 
 
 def index_documents(docs: DataFrame, config: ChunkConfig | None = None, quick_clean: bool = False, embedder=None, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -43,6 +46,14 @@ def prompts(queries: DataFrame, hits: DataFrame, numbered: bool = False) -> Data
     return both.select("query_id", "query", build(F.col("query"), chunks).alias("prompt"))
 
 
+def answers(queries: DataFrame, chunks: DataFrame, generate, k: int = search.TOP_K, embedder=None, numbered: bool = False, digits: int | None = None) -> DataFrame:
+    """(query_id, query, prompt, answer): search, the best three, the prompt and the answer of
+    `generate`, a column function such as prompt.generate_udf() makes; a failure's
+    text is the answer's end."""
+    asked = prompts(queries, search_text(queries, chunks, k, embedder, digits=digits), numbered)
+    return asked.withColumn("answer", generate(F.col("prompt")))
+
+
 def sweep_chunks(docs: DataFrame, configs: Iterable[ChunkConfig], id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Chunks of all documents under every configuration, with its number, strategy,
     size and overlap; a branch of the plan for each, so every fold has constant sizes."""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import oracles_more, registry_more
 from quarry.operators import chunkers, clean, diagnostics, embed, evaluate, prompt, search
-from quarry.oracles import DIRTY, ORACLES
+from quarry.oracles import DIRTY
+from quarry.oracles import ORACLES as OWN_ORACLES
 from quarry.plans import config, retrieval
 from quarry.plans.config import ChunkConfig
 from quarry.sources import files, presets
@@ -161,4 +163,5 @@ QUERIES: dict[str, Query] = {
     "sweep_rollup": lambda s, d: retrieval.sweep_rollup(documents(s, d), SWEEP),
 }
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES |= registry_more.QUERIES
+ORACLES: dict[str, str] = OWN_ORACLES | oracles_more.ORACLES

@@ -60,6 +60,11 @@ def read_files(spark: SparkSession, path: str | list[str], strict: bool = False,
         if "PATH_NOT_FOUND" in str(problem):
             raise FileNotFoundError(path) from problem
         raise
+    return describe_files(files.select("path", "length", "content"), strict, extract_pages)
+
+
+def describe_files(files: DataFrame, strict: bool = False, extract_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """As read_files(), of rows (path, length, content binary) from any source."""
     files = files.select("path", F.col("length").alias("size_bytes"), "content", extension(F.col("path")).alias("extension"))
     known = F.col("extension").isin(*EXTENSIONS)
     if strict:

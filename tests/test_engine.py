@@ -66,7 +66,7 @@ def test_diagnostics(spark):
     stats = diagnostics.chunk_stats(chunks, documents=df).orderBy("doc_id").collect()
     assert stats[0].total_chunks == 0 and stats[0].avg_chunk_size == 0 and stats[4].total_tokens_est == stats[4].total_characters // 4
     line = diagnostics.summary_line(diagnostics.chunk_stats(chunks)).first().summary
-    assert line.startswith("7 chunks | Avg: ") and "2,644 chars" in line
+    assert line == "7 chunks, 378 characters on average, 2,644 in all, about 661 tokens"
 
 
 def test_recommendations_and_previews(spark):
@@ -316,3 +316,67 @@ def test_plans_have_no_needless_shuffle(spark):
     d = "/root/testdata/sf0.001"
     for name in ("chunk_sentence_overlap", "chunk_recursive", "chunk_overlap_next", "chunk_quality", "quick_clean"):
         assert "Exchange" not in registry.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_cancel_uses_the_tag():
+    class Session:
+        def __init__(self):
+            self.stopped = []
+
+        def interruptTag(self, tag):
+            self.stopped.append(tag)
+
+    session = Session()
+    streaming.cancel(session, "re-embed")
+    assert session.stopped == ["re-embed"]
+
+
+def test_requests_in_flight_are_bounded():
+    import threading
+
+    running, most, lock, tried, pauses = [0], [0], threading.Lock(), {}, []
+
+    def call(text):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            tried[text] = tried.get(text, 0) + 1
+        try:
+            if tried[text] < 3:
+                raise ConnectionError
+            return [float(text)]
+        finally:
+            with lock:
+                running[0] -= 1
+
+    assert providers.in_flight(call, [str(i) for i in range(20)], sleep=pauses.append) == [[float(i)] for i in range(20)]
+    assert most[0] <= 3 and sorted(pauses) == [0.5] * 20 + [1.0] * 20
+    with pytest.raises(ConnectionError):
+        providers.in_flight(lambda t: tried.clear() or call(t), ["1"], sleep=pauses.append)
+
+
+def test_settings_of_a_chat_reach_every_service():
+    bodies = []
+
+    def transport(method, url, headers, body, timeout):
+        bodies.append(json.loads(body))
+        return 200, json.dumps({"message": {"content": "a"}, "choices": [{"message": {"content": "a"}}], "candidates": [{"content": {"parts": [{"text": "a"}]}}]}).encode()
+
+    for kind in providers.ProviderType:
+        assert providers.Client(kind, transport).chat([{"role": "user", "content": "x"}], 0.2, 9) == "a"
+    assert all("0.2" in json.dumps(b) and "9" in json.dumps(b) for b in bodies) and len(bodies) == 4
+
+
+def test_hashing_embedders_agree(spark):
+    rows = [(0, "The cat the CAT\nsat"), (1, ""), (2, None), (3, "Ünder ünder " * 50), (4, " a  b ")]
+    df = spark.createDataFrame(rows, "i int, text string").withColumn("own", embed.hashing_embedding(F.col("text")))
+    for r in embed.embed(df).collect():
+        assert len(r.embedding) == 64 and np.allclose(r.embedding, r.own)
+
+
+def test_chunk_ids_never_collide(spark):
+    ids = spark.createDataFrame([(1 << 38, 5), (3, (1 << 24) - 1), (None, 1)], "doc_id long, chunk_index int").select(retrieval.chunk_id().alias("c")).collect()
+    assert [r.c for r in ids] == [(1 << 38) * (1 << 24) + 5, 4 * (1 << 24) - 1, None]
+    for bad in ((1 << 39, 0), (1, 1 << 24)):
+        with pytest.raises(Exception, match="chunk_id"):
+            spark.createDataFrame([bad], "doc_id long, chunk_index int").select(retrieval.chunk_id()).collect()
