@@ -12,7 +12,8 @@ from . import bpe, decontaminate, gam, jpeg, lm, sharding, simhash, substrings,
 from .common import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
-SHARD_BYTES = 32 << 20
+#: So small that shards of several depths come about in every table.
+SHARD_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
