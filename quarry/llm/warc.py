@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 
-#: Captures of an index block.
-BLOCK_LINES = 1000
+#: Captures of an index block, and blocks that a task reads at the utmost.
+BLOCK_LINES, BLOCKS = 1000, 50
 #: gzip level of records and blocks.
 LEVEL = 3
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,8 +97,41 @@ def read_record(data: bytes) -> tuple[int | None, int, str, str, int | None, byt
     return page, len(payload), said, "response", None, payload
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it: without one it lies in the default
+    file system, which all executors share, and not on an executor's own disk."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
+
+
+class _Appender:
+    """A file of members that is opened at the first one, and closed whatever happens."""
+
+    def __init__(self, path: str, folder: str, ending: str):
+        self.system, self.root = _open(path)
+        self.system.create_dir(f"{self.root}/{folder}", recursive=True)
+        self.name, self.at, self.out = f"{folder}/{uuid.uuid4().hex}{ending}", 0, None
+
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Appends a gzip member; its offset and length."""
+        member = gzip.compress(data, LEVEL, mtime=0)
+        if self.out is None:
+            self.out = self.system.open_output_stream(f"{self.root}/{self.name}", compression=None)
+        self.out.write(member)
+        self.at += len(member)
+        return self.at - len(member), len(member)
+
+    def __enter__(self) -> _Appender:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.out is not None:
+            self.out.close()
 
 
 _CAPTURE = "url_key string, page_id long, record_type string, file string, offset long, length long"
@@ -123,54 +157,42 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2000
     lists those of successful attempts only. Null html is an empty payload, a null
     url has the key ")/", repeated rows have records of their own, rows of one
     payload and the largest page_id are all responses, a null page_id counts as
-    the smallest; other columns are left out; an empty table gives an empty index.
+    the smallest; a very long payload is one record, compressed by itself; other
+    columns are left out; an empty table gives an empty index.
     """
-    spark = pages.sparkSession
+    spark, at = pages.sparkSession, resolved(pages.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(path)
-        system.create_dir(f"{root}/archive", recursive=True)
-        name, out, at = f"archive/{uuid.uuid4().hex}.warc.gz", None, 0
-        for batch in batches:
-            for part in slices(batch, "html"):
-                found = []
-                for page, url, html, revisit, refers in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit", "refers_to"))):
-                    member = gzip.compress(record(page, url, html.encode(), refers, revisit, date), LEVEL, mtime=0)
-                    out = out or system.open_output_stream(f"{root}/{name}", compression=None)
-                    out.write(member)
-                    found.append((url_key(url), page, "revisit" if revisit else "response", name, at, len(member)))
-                    at += len(member)
-                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], ["url_key", "page_id", "record_type", "file", "offset", "length"])
-        if out:
-            out.close()
+        with _Appender(at, "archive", ".warc.gz") as out:
+            for batch in batches:
+                for part in slices(batch, "html"):
+                    found = []
+                    for page, url, html, revisit, refers in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit", "refers_to"))):
+                        place = out.add(record(page, url, html.encode(), refers, revisit, date))
+                        found.append((url_key(url), page, "revisit" if revisit else "response", out.name, *place))
+                    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], ["url_key", "page_id", "record_type", "file", "offset", "length"])
 
     captures = cut(plan_records(pages, least).mapInArrow(write, _CAPTURE))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(path)
-        system.create_dir(f"{root}/index", recursive=True)
-        name, out, at, lines, made = f"index/{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
-
-        def close_block() -> None:
-            nonlocal out, at
-            member = gzip.compress("".join(line for _, line in lines).encode(), LEVEL, mtime=0)
-            out = out or system.open_output_stream(f"{root}/{name}", compression=None)
-            out.write(member)
-            made.append((lines[0][0], name, at, len(member), len(lines)))
-            at += len(member)
-            lines.clear()
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("url_key", "page_id", "record_type", "file", "offset", "length"))):
-                key = row[0]
-                lines.append((key, "\t".join("" if v is None else str(v).replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D") for v in row) + "\n"))
-                if len(lines) == block_lines:
-                    close_block()
-        if lines:
-            close_block()
-        if out:
-            out.close()
+        lines: list[str] = []
+        made: list[tuple] = []
+        first = ""
+        with _Appender(at, "index", ".cdx.gz") as out:
+
+            def close_block() -> None:
+                made.append((first, out.name, *out.add("".join(lines).encode()), len(lines)))
+                lines.clear()
+
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("url_key", "page_id", "record_type", "file", "offset", "length"))):
+                    first = first if lines else row[0]
+                    lines.append("\t".join("" if v is None else str(v).replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D") for v in row) + "\n")
+                    if len(lines) == block_lines:
+                        close_block()
+            if lines:
+                close_block()
         types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         columns = list(zip(*made)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], ["first_key", "file", "offset", "length", "captures"])
@@ -215,25 +237,30 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     payload_bytes, payload_digest, record_type, refers_to, url_key), and with
     `payloads` the payload (null for a revisit). A task takes some blocks."""
 
+    at = resolved(spark, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = _Ranges(path)
+        ranges = _Ranges(at)
         for batch in batches:
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
                 found = []
-                for key, _, _, name, at, size in sorted(ranges.captures(file, offset, length), key=lambda c: (c[3], int(c[4]))):
-                    r = read_record(ranges.read(name, int(at), int(size)))
+                for key, _, _, name, start, size in sorted(ranges.captures(file, offset, length), key=lambda c: (c[3], int(c[4]))):
+                    r = read_record(ranges.read(name, int(start), int(size)))
                     found.append((*r[:5], key, *([r[5]] if payloads else [])))
                 yield _rows(found, payloads)
 
     directory = spark.read.parquet(f"{path}/directory").select("file", "offset", "length")
-    return directory.repartition(F.xxhash64("file", "offset")).mapInArrow(run, _READ + ", payload binary" * payloads)
+    # a row is a block of records: dealt out evenly, a few tasks a core, or more of BLOCKS each
+    n = directory.count()
+    tasks = max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, -(-n // BLOCKS))))
+    return directory.repartition(tasks).mapInArrow(run, _READ + ", payload binary" * payloads)
 
 
 def look_up(spark: SparkSession, path: str, urls: list[str]) -> DataFrame:
     """The captures of the given URLs, with payloads. Each part of the directory is
     searched for the blocks that can hold a key: the last that begins below it
     and those that begin with it. Blocks are searched in the same way."""
-    keys = sorted({url_key(u) for u in urls})
+    keys, at = sorted({url_key(u) for u in urls}), resolved(spark, path)
     sent = spark.sparkContext.broadcast(keys)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +275,7 @@ def look_up(spark: SparkSession, path: str, urls: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*found)) or [()] * 5, types)], ["key", "first_key", "file", "offset", "length"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = _Ranges(path)
+        ranges = _Ranges(at)
         for batch in batches:
             found = []
             for key, file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "offset", "length"))):
