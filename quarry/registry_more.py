@@ -318,7 +318,7 @@ def vector_store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = store.stats()
     hits = store.search([1.0] + [0.0] * (store.dimensions - 1)).count()
     store.clear()
-    return spark.createDataFrame([(before["chunks"], before["dimensions"], before["vector_bytes"], hits, store.count())], "chunks long, dimensions int, vector_bytes long, hits int, after_clear long")
+    return spark.createDataFrame([(before["chunks"], before["dimensions"], before["vector_bytes"], hits, store.count())], "chunks long, dimensions int, vector_bytes long, hits long, after_clear long")
 
 
 def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
