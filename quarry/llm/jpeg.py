@@ -119,7 +119,8 @@ def pad(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Frame:
-    """What the markers of one image say; `scan` is its entropy-coded part."""
+    """What the markers of one image say; `scan` is the entropy-coded part that has the
+    first component, luminance: with all others, or alone."""
 
     image: int
     width: int = 0
@@ -129,6 +130,8 @@ class Frame:
     huff: dict[int, bytes] = field(default_factory=dict)  # 16 counts and the symbols
     restart: int = 0
     order: tuple = ()  # (DC table, AC table, component) of each block of an MCU
+    interval: int = 0  # MCUs between restarts in the scan
+    alone: bool = False
     scan: tuple[int, int] = (0, 0)
 
     @property
@@ -140,8 +143,20 @@ class Frame:
         return max(p[2] for p in self.parts)
 
     def mcus(self) -> tuple[int, int]:
-        h, v = (1, 1) if len(self.parts) == 1 else (self.h_max, self.v_max)
-        return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        """MCUs of the scan across and down; of one component alone these are its blocks."""
+        h, v = self.parts[0][1:3] if self.alone else (1, 1)
+        return -(-self.width * h // (8 * self.h_max)), -(-self.height * v // (8 * self.v_max))
+
+
+def _scan_end(data: bytes, at: int) -> int:
+    """Where entropy-coded bytes end: at a marker that is neither a stuffed byte nor a restart."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            raise ValueError("the scan is cut off")
+        if data[at + 1] != 0xFF and data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7:
+            return at
+        at += 1 if data[at + 1] == 0xFF else 2
 
 
 _STARTS = bytes.fromhex("c1c2c3c5c6c7c9cacbcdcecf")
@@ -158,6 +173,12 @@ def parse(data: bytes, image: int = 0) -> list[Frame]:
         if marker == 0xD8:
             frame = Frame(image)
             continue
+        if marker == 0xD9 and frame is not None:
+            if not frame.order:
+                raise ValueError("no scan with luminance")
+            out.append(frame)
+            frame = None
+            continue
         if marker in (0xD9, 0xFF, 0x01) or frame is None:
             if marker != 0xD9 and frame is None:
                 raise ValueError("no start of image")
@@ -191,30 +212,21 @@ def parse(data: bytes, image: int = 0) -> list[Frame]:
             frame.restart = body[0] << 8 | body[1]
         elif marker == 0xDA:
             named = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            if not frame.parts or set(named) != {p[0] for p in frame.parts}:
-                raise ValueError("one scan with all components is expected")
-            order = []
-            for i, (c, h, v, _) in enumerate(frame.parts):
-                t = named[c]
-                blocks = 1 if len(frame.parts) == 1 else h * v
-                order += [(frame.huff[t >> 4], frame.huff[0x10 | t & 15], i)] * blocks
-            frame.order = tuple(order)
-            end = at
-            while True:  # the scan ends at a marker that is neither a stuffed byte nor a restart
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    raise ValueError("the scan is cut off")
-                if data[end + 1] == 0xD9:
-                    break
-                end = data.find(b"\xff\xd9", end + 1) if not (data[end + 1] in (0, 0xFF) or 0xD0 <= data[end + 1] <= 0xD7) else end + 1
-                if end < 0:
-                    raise ValueError("the scan is cut off")
-                if data[end : end + 2] == b"\xff\xd9":
-                    break
-            frame.scan = (at, end)
-            out.append(frame)
-            at, frame = end, None
-            at += 2
+            if not frame.parts or not set(named) <= {p[0] for p in frame.parts}:
+                raise ValueError("a scan of the frame's components is expected")
+            end = _scan_end(data, at)
+            if frame.parts[0][0] in named and not frame.order:
+                if 1 < len(named) < len(frame.parts):
+                    raise ValueError("luminance alone or with all other components is expected")
+                frame.alone, frame.interval, frame.scan = len(named) == 1, frame.restart, (at, end)
+                order = []
+                for i, (c, h, v, _) in enumerate(frame.parts[: len(named)]):
+                    t = named[c]
+                    order += [(frame.huff[t >> 4], frame.huff[0x10 | t & 15], i)] * (1 if frame.alone else h * v)
+                frame.order = tuple(order)
+            at = end
+    if frame is not None:
+        raise ValueError("the image is cut off")
     if not out:
         raise ValueError("no image")
     return out
@@ -266,14 +278,14 @@ def thumbnails(data: bytes, frames: list[Frame]) -> list[np.ndarray]:
     Scans lie in `data`; frames with the same tables are decoded together."""
     groups: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
-        groups.setdefault((f.order, f.restart > 0), []).append(i)
+        groups.setdefault((f.order, f.interval > 0), []).append(i)
     out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(frames)
     for (order, _), members in groups.items():
         own = [frames[i] for i in members]
         buf, first, of_frame = _lanes(data, own)
         total = np.array([f.mcus()[0] * f.mcus()[1] for f in own])
         lanes_of = np.diff(of_frame)
-        step = np.array([f.restart or t for f, t in zip(own, total.tolist())])
+        step = np.array([f.interval or t for f, t in zip(own, total.tolist())])
         if (lanes_of < -(-total // step)).any():
             raise ValueError("a restart interval is missing")
         lane = np.arange(of_frame[-1]) - np.repeat(of_frame[:-1], lanes_of)
@@ -302,10 +314,9 @@ def thumbnails(data: bytes, frames: list[Frame]) -> list[np.ndarray]:
         for i, f, a, b in zip(members, own, edges[:-1].tolist(), edges[1:].tolist()):
             across, down = f.mcus()
             _, h, v, q = f.parts[0]
-            h, v = (1, 1) if len(f.parts) == 1 else (h, v)
+            h, v = (1, 1) if f.alone else (h, v)
             grid = dc[a:b].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-            scale = (f.h_max, f.v_max) if len(f.parts) > 1 else (h, v)
-            rows, cols = -(-f.height * v // (8 * scale[1])), -(-f.width * h // (8 * scale[0]))
+            rows, cols = (down, across) if f.alone else (-(-f.height * v // (8 * f.v_max)), -(-f.width * h // (8 * f.h_max)))
             q = f.quant[q]
             out[i] = np.clip((grid[:rows, :cols] * q + 4) // 8 + 128, 0, 255).astype(np.uint8)
     return out
@@ -369,9 +380,10 @@ def average_hash(grid: np.ndarray) -> int:
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes long, media binary): each whole text, padded, as baseline JPEG.
 
-    Null and empty texts are stored as ROW zero bytes; texts over 524,224 bytes
+    Null and empty texts are stored as ROW zero bytes; very long texts, over 524,224 bytes,
     take several images one after another. Rows are never merged or dropped;
-    other columns are left out. One pass, no shuffle.
+    null ids are kept; other columns are left out; an empty table gives no rows. One
+    pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
