@@ -351,8 +351,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id, n_tokens long, ids binary, decoded string) of every whole text.
 
     `ids` are little-endian unsigned 32-bit integers. One pass, no shuffle.
-    Null and empty texts give no ids and an empty decoded text; repeated rows
-    give repeated rows; null ids stay null; other columns are left out.
+    Null and empty texts give no ids and an empty decoded text; a very long text is
+    a portion of its own; repeated rows give repeated rows; null ids stay null; an
+    empty table gives no rows; other columns are left out.
     """
     kind = df.schema[id_col].dataType
 
