@@ -1,18 +1,21 @@
 """Exact substring dedup by level-wise doubling.
 
-Level one finds repeated windows of half the length: each window of the full
-length is stood for by the least hash among the half-length windows in it, so
-that equal windows choose alike and few hashes are shuffled. Only windows whose
-half-length window repeats are extended to the full length, hashed to 96 bits
-and held against the first document that has them.
-
-Tasks settle what repeats among their own rows and send one row for each hash,
-so a passage that a third of all documents share is a few rows a task.
+The first level finds short windows that repeat, and each further one windows of twice
+the words, but only where all before it found a repeat, up to the full length. Below it a
+window of the full length is stood for by the least hash among the level's windows
+in it, so that equal windows choose alike and few hashes are shuffled; such hashes only
+lead to candidates. At the full length the windows themselves are told apart by 96
+bits of BLAKE2b over their words, a hash for which colliding words cannot be built
+by rule, and held against the first document that has them.
+
+Tasks settle what repeats among their own rows and send a hash that repeats here only
+once, so a passage that a third of all documents share is a row a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,18 @@ from .common import buffers, mix, slices, whole_text, window_hashes, word_hashes
 
 #: Hashes that a task gathers before it settles them, and rows that it sends at a time.
 GATHERED, SENT = 500_000, 50_000
+#: Repeated hashes that a task remembers to have sent.
+TOLD = 1_000_000
+#: Words of a window of the first level, at least (those of a shorter length are its only level).
+SHORTEST = 5
+
+
+def levels(length: int) -> list[int]:
+    """Lengths of the levels, each twice the one before (less one, where it must be)."""
+    out = [length]
+    while -(-out[0] // 2) >= SHORTEST:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -38,29 +53,55 @@ class Windows:
     """Windows of `length` words of a batch of texts; none runs over a text's end."""
 
     def __init__(self, column: pa.Array, length: int):
-        self.length, self.half = length, max(1, length // 2)
-        data, offsets = buffers(column)
-        self.starts, self.ends, self.first = word_spans(data, offsets)
-        self.data = data
-        self.words = word_hashes(data, self.starts, self.ends)
+        self.length = length
+        self.data, offsets = buffers(column)
+        self.starts, self.ends, self.first = word_spans(self.data, offsets)
+        self.words = word_hashes(self.data, self.starts, self.ends)
         count = np.diff(self.first)
         owner = np.repeat(np.arange(len(count)), count)
         left = np.repeat(self.first[1:], count) - np.arange(len(owner))  # words up to the text's end
         n = max(0, len(owner) - length + 1)
         self.owner, self.valid = owner, left[:n] >= length
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window the least hash of the half-length windows in it; for each
-        half-length window whether a window chose it; and their hashes."""
-        pieces = window_hashes(self.words, self.half) | np.uint64(1)
-        if not len(self.valid):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), pieces
-        width = self.length - self.half + 1
-        least = _slide(pieces, width, np.minimum)
+    def anchors(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the least hash of the level's windows in it, and all of these."""
+        pieces = window_hashes(self.words, level) | np.uint64(1)
+        return (_slide(pieces, self.length - level + 1, np.minimum) if len(self.valid) else pieces[:0]), pieces
+
+    def chosen(self, level: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the level's windows that a living window chose."""
+        least, pieces = self.anchors(level)
+        if not len(least):
+            return np.zeros(0, np.int64), pieces[:0]
+        width = self.length - level + 1
         shown = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-        shown[width - 1 : width - 1 + len(least)] = np.where(self.valid, least, 0)
-        chosen = _slide(shown, width, np.maximum) == pieces
-        return least, chosen, pieces
+        shown[width - 1 : width - 1 + len(least)] = np.where(alive, least, 0)
+        at = np.flatnonzero(_slide(shown, width, np.maximum) == pieces)
+        return at, pieces[at]
+
+    def alive(self, first: np.ndarray, level: int | None, repeated: list[list[bytes]]) -> np.ndarray:
+        """Windows of first rows whose anchor of the level before repeats, by each text's list."""
+        out = self.valid & first[self.owner[: len(self.valid)]]
+        if level is not None and out.any():
+            at = np.flatnonzero(out)
+            lists = [np.frombuffer(b"".join(x), np.uint64) for x in repeated]
+            salt = mix(np.arange(len(lists), dtype=np.uint64))
+            known = np.concatenate(lists) ^ np.repeat(salt, [len(x) for x in lists])
+            out[at] = np.isin(self.anchors(level)[0][at] ^ salt[self.owner[at]], known)
+        return out
+
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """96 bits of BLAKE2b over the words of windows: 64 and 32, as (windows, 2)."""
+        out, line, done = [], b"", -1
+        for k, text in zip(at.tolist(), self.owner[at].tolist()):
+            if text != done:
+                a, b = int(self.first[text]), int(self.first[text + 1])
+                line = b" ".join([self.data[i:j].tobytes() for i, j in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())])
+                begin = np.concatenate([[0], np.cumsum(self.ends[a:b] - self.starts[a:b] + 1)]).tolist()
+                done = text
+            out.append(blake2b(line[begin[k - a] : begin[k - a + self.length] - 1], digest_size=12).digest())
+        words = np.frombuffer(b"".join(out), "<u4").reshape(-1, 3).astype(np.uint64)
+        return np.stack([words[:, 0] << np.uint64(32) | words[:, 1], words[:, 2]], 1)
 
 
 def _identity(id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> list[F.Column]:
@@ -103,23 +144,49 @@ def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, SENT)
 
 
+class _Told:
+    """What a task has sent of hashes that repeat within it: for each the least document
+    so far. A full table is forgotten, and its hashes are sent once more."""
+
+    def __init__(self) -> None:
+        self.least: dict[bytes, tuple[int, int]] = {}
+
+    def earlier(self, hashes: list[bytes], docs: list[tuple[int, int]], repeated: list[bool]) -> np.ndarray:
+        """For each hash, with the least document of a portion that has it and whether the
+        portion repeats it, whether an earlier document has been sent."""
+        if len(self.least) > TOLD:
+            self.least.clear()
+        out = np.zeros(len(hashes), bool)
+        for k, (h, doc, again) in enumerate(zip(hashes, docs, repeated)):
+            known = self.least.get(h)
+            if known is not None and known < doc:
+                out[k] = True
+            elif again or known is not None:
+                self.least[h] = doc
+        return out
+
+
 _ANCHOR_ROWS = "slot long, ord long, key long, twice boolean, many binary"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, level: int, before: int | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of the level's windows. A row is a hash and a document that asks whether it
+    repeats; or tells that it does (twice); or is a document's list of those that do."""
     hashes: list[np.ndarray] = []
     docs: list[np.ndarray] = []
-    seen, held = _Seen(), 0
+    seen, held, told = _Seen(), 0, np.zeros(0, np.uint64)
 
     def send() -> pa.RecordBatch:
+        nonlocal told
         h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        repeated = size[group] > 1
+        again = np.bincount(group) > 1
+        old = np.isin(h[new], told, assume_unique=True)  # repeats, and others know
+        repeated = (again | old)[group]
         ords, keys = seen.identities()
         # what repeats here is known for its documents; each hash is also held against other tasks
         k, kd = h[repeated], d[repeated]
@@ -129,12 +196,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         distinct[1:] = (k[1:] != k[:-1]) | (kd[1:] != kd[:-1])
         whose, many = _lists(kd[distinct], k[distinct])
         # rows of a document one after another: shuffled blocks compress far better
-        one = np.flatnonzero(new)
-        one = one[np.argsort(d[one], kind="stable")]
+        one = np.flatnonzero(new)[~old]
+        twice = again[~old]
+        told = np.concatenate([told if len(told) < TOLD else told[:0], h[one[twice]]])
+        order = np.argsort(d[one], kind="stable")
+        one, twice = one[order], twice[order]
         slots = np.concatenate([h[one].view(np.int64), mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64))).view(np.int64)])
         who = np.concatenate([d[one], whose])
         return pa.RecordBatch.from_arrays(
-            [pa.array(slots), pa.array(ords[who]), pa.array(keys[who]), pa.array(np.concatenate([repeated[one], np.zeros(len(whose), bool)])), pa.array([None] * len(one) + many, pa.binary())],
+            [pa.array(slots), pa.array(ords[who]), pa.array(keys[who]), pa.array(np.concatenate([twice, np.zeros(len(whose), bool)])), pa.array([None] * len(one) + many, pa.binary())],
             ["slot", "ord", "key", "twice", "many"],
         )
 
@@ -142,13 +212,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         for part in slices(batch, "_text"):
             ids, first = seen.rows(part)
             w = Windows(part.column("_text"), length)
-            _, chosen, pieces = w.anchors()
-            at = np.flatnonzero(chosen)
-            owner = w.owner[at]
-            keep = first[owner]
-            hashes.append(pieces[at][keep])
-            docs.append(ids[owner][keep])
-            held += len(hashes[-1])
+            at, found = w.chosen(level, w.alive(first, before, part.column("repeated").to_pylist() if before else []))
+            hashes.append(found)
+            docs.append(ids[w.owner[at]])
+            held += len(found)
             if held > GATHERED:
                 yield from _portions(send())
                 hashes, docs, seen, held = [], [], _Seen(), 0
@@ -156,34 +223,40 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield from _portions(send())
 
 
-#: `rest` has 32 more bits of the hash above the window's place, so rows stay short.
+#: `rest` has the hash's last 32 bits above the window's place, so rows stay short.
 _WINDOW_ROWS = "h1 long, rest long, ord long, key long, many binary"
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int, before: int | None) -> Iterator[pa.RecordBatch]:
+    """Windows of the full length. A row is a window's first place in this portion; or a
+    document's list of places where windows have been earlier in this task."""
     gathered: list[tuple[np.ndarray, ...]] = []
-    seen, held = _Seen(), 0
+    seen, held, told = _Seen(), 0, _Told()
 
     def send() -> pa.RecordBatch:
-        h1, h2, d, at = (np.concatenate(x) for x in zip(*gathered))
-        h2 = h2 >> np.uint64(32)
+        h, d, at = (np.concatenate(x) for x in zip(*gathered))
         ords, keys = seen.identities()
         rank = np.empty(len(ords), np.int64)
         rank[np.lexsort((keys, ords))] = np.arange(len(ords))
-        order = np.lexsort((at, rank[d], h2, h1))
-        h1, h2, d, at = h1[order], h2[order], d[order], at[order]
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        later, whose_at = d[~new], at[~new]
-        order = np.lexsort((whose_at, later))
-        whose, many = _lists(later[order], whose_at[order].astype(np.int32))
-        own = mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64)))
+        order = np.lexsort((at, rank[d], h[:, 1], h[:, 0]))
+        h, d, at = h[order], d[order], at[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]).any(1)
         one = np.flatnonzero(new)
+        again = np.diff(one, append=len(h)) > 1
+        raw = h[one].tobytes()
+        old = told.earlier([raw[k : k + 16] for k in range(0, len(raw), 16)], list(zip(ords[d[one]].tolist(), keys[d[one]].tolist())), again.tolist())
+        later = ~new
+        later[one[old]] = True
+        whose, where = d[later], at[later]
+        order = np.lexsort((where, whose))
+        whose, many = _lists(whose[order], where[order].astype(np.int32))
+        own = mix(keys[whose].view(np.uint64) ^ mix(ords[whose].view(np.uint64)))
+        one = one[~old]
         one = one[np.lexsort((at[one], d[one]))]
         who = np.concatenate([d[one], whose])
-        rest = h2[one] << np.uint64(32) | at[one].astype(np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([h1[one], own]).view(np.int64)), pa.array(np.concatenate([rest, own]).view(np.int64)), pa.array(ords[who]), pa.array(keys[who]), pa.array([None] * len(one) + many, pa.binary())],
+            [pa.array(np.concatenate([h[one, 0], own]).view(np.int64)), pa.array(np.concatenate([h[one, 1] << np.uint64(32) | at[one].astype(np.uint64), own]).view(np.int64)), pa.array(ords[who]), pa.array(keys[who]), pa.array([None] * len(one) + many, pa.binary())],
             ["h1", "rest", "ord", "key", "many"],
         )
 
@@ -191,17 +264,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         for part in slices(batch, "_text"):
             ids, first = seen.rows(part)
             w = Windows(part.column("_text"), length)
-            least, _, _ = w.anchors()
-            lists = [np.frombuffer(b"".join(x), np.uint64) for x in part.column("repeated").to_pylist()]
-            whose = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            known = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-            salt = mix(np.arange(len(lists), dtype=np.uint64))
-            at = np.flatnonzero(w.valid & first[w.owner[: len(w.valid)]]) if len(w.valid) else np.zeros(0, np.int64)
-            owner = w.owner[at]
-            hit = np.isin(least[at] ^ salt[owner], known ^ salt[whose])
-            at, owner = at[hit], owner[hit]
-            lane = window_hashes(word_hashes(w.data, w.starts, w.ends, 1), length, 1)
-            gathered.append((window_hashes(w.words, length)[at], lane[at], ids[owner], at - w.first[owner]))
+            at = np.flatnonzero(w.alive(first, before, part.column("repeated").to_pylist() if before else []))
+            gathered.append((w.digests(at), ids[w.owner[at]], at - w.first[w.owner[at]]))
             held += len(at)
             if held > GATHERED:
                 yield from _portions(send())
@@ -238,28 +302,32 @@ def dedup_substrings(df: DataFrame, length: int = 20, id_col: str = "doc_id", te
     Removes the words of every window of `length` words that also starts earlier:
     in a document of smaller id, or further up in the same one; windows are
     judged on the input. Kept words are joined by one space; with `as_is` a
-    text that loses nothing stays as it is. Null texts have no
-    words; a null id counts as the smallest; rows of one id are ordered by a hash
-    of the text, those of one id and one text are one document and share a
-    result; other columns are left out; an empty table gives no rows.
+    text that loses nothing stays as it is. Null texts have no words; a very long text
+    is a portion of its own, like any other; a null id counts as the smallest; rows of
+    one id are ordered by a hash of the text, those of one id and one text are one
+    document and share a result; other columns are left out; an empty table gives no rows.
     """
     if length < 2:
         raise ValueError("a window has two words at least")
     docs = df.select(*_identity(id_col, text_col, keep))
-    anchors = docs.mapInArrow(lambda it: _anchor_rows(it, length), _ANCHOR_ROWS)
-    slot = Window.partitionBy("slot")
-    anchors = anchors.withColumn("n", F.count("*").over(slot)).withColumn("any", F.max("twice").over(slot))
-    known = anchors.filter(F.col("many").isNotNull() | (~F.col("twice") & ((F.col("n") > 1) | F.col("any"))))
-    known = known.select("ord", "key", F.coalesce("many", _reversed(F.col("slot"))).alias("many"))
-    known = known.groupBy("ord", "key").agg(F.collect_list("many").alias("repeated"))
-    # both joins take the documents in the same form, so that their exchange is made once
-    found = docs.join(known, ["ord", "key"]).select("id", *keep, "ord", "key", "_text", "repeated").mapInArrow(lambda it: _window_rows(it, length), _WINDOW_ROWS)
+    # every join takes the documents in the same form, so that their exchange is made once
+    columns = ["id", *keep, "ord", "key", "_text"]
+    alive, before = docs, None
+    for level in levels(length)[:-1]:
+        anchors = alive.mapInArrow(lambda it, level=level, before=before: _anchor_rows(it, length, level, before), _ANCHOR_ROWS)
+        slot = Window.partitionBy("slot")
+        anchors = anchors.withColumn("n", F.count("*").over(slot)).withColumn("any", F.max("twice").over(slot))
+        known = anchors.filter(F.col("many").isNotNull() | (~F.col("twice") & ((F.col("n") > 1) | F.col("any"))))
+        known = known.select("ord", "key", F.coalesce("many", _reversed(F.col("slot"))).alias("many"))
+        known = known.groupBy("ord", "key").agg(F.collect_list("many").alias("repeated"))
+        alive, before = docs.join(known, ["ord", "key"]).select(*columns, "repeated"), level
+    found = alive.mapInArrow(lambda it: _window_rows(it, length, before), _WINDOW_ROWS)
     # dealt by h1 alone; the rest of the hash is unpacked where it is needed
     found = found.repartition("h1").withColumn("h2", F.shiftright("rest", 32)).withColumn("at", F.col("rest").bitwiseAND(F.lit((1 << 32) - 1)))
     first = F.min(F.struct("ord", "key")).over(Window.partitionBy("h1", "h2"))
     later = found.withColumn("first", first).filter(F.col("many").isNotNull() | (F.col("first") < F.struct("ord", "key")))
     later = later.select("ord", "key", F.coalesce("many", _reversed(F.col("at"), 4)).alias("many")).groupBy("ord", "key").agg(F.collect_list("many").alias("removed"))
-    out = docs.join(later, ["ord", "key"], "left").select("id", *keep, "ord", "key", "_text", "removed")
+    out = docs.join(later, ["ord", "key"], "left").select(*columns, "removed")
     kind = df.schema[id_col].dataType.simpleString()
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return out.mapInArrow(lambda it: _keep(it, length, keep, as_is), f"id {kind}{kept}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
