@@ -187,29 +187,68 @@ def window_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     return mix(out)
 
 
+#: Rows of one key, at least and as a share of all, that a join does not deal by the key.
+HUB_ROWS, HUB_SHARE = 1000, 1000
+#: Links up to which one task finds the components, in some 100 MB; more are dealt to many.
+ONE_TASK = 500_000
+
+
+def with_least(rows: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): the rows (u, v) with the least v of their u. A key of more than
+    HUB_ROWS rows and of a HUB_SHARE-th of all n is a hub: there are HUB_SHARE of them at the
+    utmost, whose least v are broadcast, so that their rows stay where they are."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(HUB_ROWS, n // HUB_SHARE)
+    hubs = least.filter(F.col("n") > most).select("u", "m").collect()
+    plain = least.select("u", "m")
+    if not hubs:
+        return rows.join(plain, "u")
+    known = F.broadcast(rows.sparkSession.createDataFrame(hubs, "u long, m long"))
+    return rows.join(known, "u", "left_anti").join(plain, "u").unionByName(rows.join(known, "u"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of links (u, v), all in one task: the least node is the root."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = i = up[j]
+        return i
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(u), root(v)))
+            up[high] = low
+    nodes = list(up)
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(root, part)), pa.int64())], ["node", "component"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components: (node, component), the component being its least
     node, for every node that occurs in `links`.
 
     Alternating large-star and small-star steps; every step is an aggregate with
-    map-side minimum and one join of pairs of numbers. All links of one node meet
-    in one task of that join, 16 bytes each. Lineage is cut with a reliable
-    checkpoint after each round.
+    map-side minimum and one join of pairs of numbers, in which the links of a node
+    that has very many stay apart. Lineage is cut with a reliable checkpoint after
+    each round. Up to ONE_TASK links are joined in one task, with the same result.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    edges = cut(links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u <> v").distinct())
+    if edges.count() <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, component long")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     sign = None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        got = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(got) == sign:
+        got = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if got == sign:
             break
-        sign = tuple(got)
+        sign, n = got, 2 * got[0]
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_least(both, n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = with_least(large, n)
+        edges = cut(low.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("the components did not settle")
     found = edges.groupBy("u").agg(F.min("v").alias("component"))

@@ -32,6 +32,9 @@ LANES = 4
 BLOCK = 1024
 #: Fingerprints of which a task sums up one matrix of bits.
 ROWS_OF_A_MATRIX = 20_000
+#: Where not all pairs are guaranteed: bits of a part at least, and the share of pairs at the
+#: usual distance that meet in some part.
+PART_BITS, RECALL = 13, 0.99
 
 # -- fingerprints ----------------------------------------------------------------
 
@@ -187,9 +190,32 @@ def allocate(sizes: list[int], same: list[float], n: int, tau: int, most: int =
     return best.get(tau + 1, (math.inf, []))
 
 
-def _part_keys(bytes_: np.ndarray, part: list[int], drop: tuple[int, ...] = ()) -> np.ndarray:
-    x = np.unpackbits(bytes_, axis=1)[:, [b for k, b in enumerate(part) if k not in drop]].astype(np.int64)
-    return x @ (np.int64(1) << np.arange(x.shape[1]))
+def layouts_for(n: int, bits: int, usual: int) -> tuple[int, int]:
+    """Parts of a layout, and layouts. Parts are so wide that n fingerprints without
+    copies fill a bucket with BUCKET of them at the utmost, and as many that a pair
+    `usual` bits apart agrees in one of them with a chance of RECALL."""
+    width = min(bits, max(PART_BITS, math.ceil(math.log2(max(1, n) / BUCKET))))
+    agree = math.prod((bits - usual - i) / (bits - i) for i in range(width))
+    return bits // width, math.ceil(math.log(1 - RECALL) / math.log1p(-agree) / (bits // width))
+
+
+def wide_plan(prints: DataFrame, bits: int, usual: int) -> Plan:
+    """Parts in which fingerprints must agree: those of the first layout hold correlated
+    bits together, as far as there are more, they are dealt at random."""
+    n = prints.count()
+    m, layouts = layouts_for(n, bits, usual)
+    parts = group_bits(bit_correlation(prints, bits, n), m)
+    thresholds = allocate([len(p) for p in parts], [2.0 ** -len(p) for p in parts], n, m - 1)[1]
+    for k in range(1, layouts):
+        order = np.random.default_rng(k).permutation(bits)
+        parts += [sorted(p.tolist()) for p in np.array_split(order, m)]
+    return Plan(parts, thresholds + [0] * (len(parts) - m))
+
+
+def _part_keys(x: np.ndarray, part: list[int], drop: tuple[int, ...] = ()) -> np.ndarray:
+    """Of rows of bits the bits of a part, as numbers."""
+    own = x[:, [b for k, b in enumerate(part) if k not in drop]].astype(np.int64)
+    return own @ (np.int64(1) << np.arange(own.shape[1]))
 
 
 def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...]) -> Plan:
@@ -202,7 +228,7 @@ def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0))
+            x = np.unpackbits(_matrix(batch.column(0)), axis=1)
             for tag, (m, k) in enumerate(tags):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, layouts[m][k]))], ["tag", "key"])
 
@@ -227,14 +253,15 @@ def buckets(prints: DataFrame, plan: Plan) -> DataFrame:
     """(part, key, node, s0, ...): two rows within a part's threshold t share the
     bucket that leaves out the bits in which they differ, t of them. The sketch is
     the first LANES times 64 bits, so that rows stay short."""
-    names = ["part", "key", "node", *(f"s{k}" for k in range(lanes(sum(map(len, plan.parts)))))]
+    names = ["part", "key", "node", *(f"s{k}" for k in range(lanes(len({b for p in plan.parts for b in p}))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 rows = batch.slice(at, 8192)
-                x, tag = _matrix(rows.column(1)), 0
-                sketch = [pa.array(x[:, 8 * k : 8 * k + 8].copy().view(np.int64).ravel()) for k in range(len(names) - 3)]
+                whole, tag = _matrix(rows.column(1)), 0
+                sketch = [pa.array(whole[:, 8 * k : 8 * k + 8].copy().view(np.int64).ravel()) for k in range(len(names) - 3)]
+                x = np.unpackbits(whole, axis=1)
                 for part, t in zip(plan.parts, plan.thresholds):
                     for drop in itertools.combinations(range(len(part)), t) if t >= 0 else ():
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *sketch], names)
@@ -304,40 +331,49 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(rows.column(0).to_numpy(), 65))], ["z", "node"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int) -> Iterator[pa.RecordBatch]:
-    """Links within and between two blocks, with their distance: a spanning forest of
-    those of `sure` bits or fewer, and of the others all that join two of its trees."""
+def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int, turn: int | None) -> Iterator[pa.RecordBatch]:
+    """Links within and between two blocks, with their distance, between nodes of
+    different trees, as given: a forest of those of `sure` bits or fewer, then of the
+    others a forest as well, by the nearest partner of a tree (turn 0) or one by
+    chance; with no turn all of them. A row at a time, so memory is one block."""
     for batch in batches:
-        for left, lx, right, rx in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            both, n = np.array(left + right), len(left)
-            x = np.frombuffer(b"".join(lx + rx), np.uint64).reshape(len(both), -1)
-            p, q, d = ([np.zeros(0, np.int64)] for _ in range(3))
-            for i in range(n):
-                start = n if right else i + 1
-                apart = _distances(x[i], x[start:])
-                near = np.flatnonzero(apart <= tau)
-                p.append(np.full(len(near), i))
-                q.append(near + start)
-                d.append(apart[near])
-            p, q, d = (np.concatenate(c).astype(np.int64) for c in (p, q, d))
-            firm, tree = d <= sure, np.arange(len(both))
-            kept = np.array(list(forest(len(both), p[firm].tolist(), q[firm].tolist())), np.int64).reshape(-1, 2)
-            for i, j in kept.tolist():
-                tree[tree == tree[j]] = tree[i]
-            loose = ~firm & (tree[p] != tree[q])
-            a, b = np.concatenate([kept[:, 0], p[loose]]), np.concatenate([kept[:, 1], q[loose]])
-            yield pa.RecordBatch.from_arrays([pa.array(both[a], pa.int64()), pa.array(both[b], pa.int64()), pa.array(_distances(x[a], x[b]).astype(np.int32))], ["a", "b", "apart"])
-
-
-def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(ln, lx, rn, rx): nodes and values of all pairs of blocks of the buckets that
-    `keys` name, the right ones empty where a block meets itself. `rows`: keys, node, value, size."""
+        for left, lx, lt, right, rx, rt in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            node, n = np.array(left + right), len(left)
+            x = np.frombuffer(b"".join(lx + rx), np.uint64).reshape(len(node), -1)
+            tree = np.unique(np.array(lt + rt), return_inverse=True)[1]
+            a, b, apart = ([np.zeros(0, np.int64)] for _ in range(3))
+            for low, high in ((-1, sure), (sure, tau)):
+                for i in range(n):
+                    start = n if right else i + 1
+                    others = np.flatnonzero(tree[start:] != tree[i]) + start
+                    d = _distances(x[i], x[others])
+                    near = (d > low) & (d <= high)
+                    others, d = others[near], d[near].astype(np.int64)
+                    if not len(others):
+                        continue
+                    if low < 0 or turn is not None:
+                        order = np.argsort(mix(others.astype(np.uint64) * np.uint64(n) + np.uint64(i)) if turn and low >= 0 else d, kind="stable")
+                        first = order[np.unique(tree[others[order]], return_index=True)[1]]
+                        others, d = others[first], d[first]
+                        tree[np.isin(tree, tree[others])] = tree[i]
+                    a.append(np.full(len(others), i))
+                    b.append(others)
+                    apart.append(d)
+            p, q, d = (np.concatenate(c).astype(np.int64) for c in (a, b, apart))
+            for at in range(0, len(p), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[p[at : at + 50_000]], pa.int64()), pa.array(node[q[at : at + 50_000]], pa.int64()), pa.array(d[at : at + 50_000].astype(np.int32))], ["a", "b", "apart"])
+
+
+def _dealt(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(left lists, right lists): nodes and values of all pairs of blocks of the buckets that
+    `keys` name, the right ones empty where a block meets itself. `rows`: keys, node, values, size."""
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", keys[0]), F.col("n_blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = pairs.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", value)
-    grouped = pairs.groupBy(*keys, "i", "j").agg(*(F.collect_list(F.when(c, F.col(v))).alias(n) for c, v, n in ((~F.col("second"), "node", "ln"), (~F.col("second"), value, "lx"), (F.col("second"), "node", "rn"), (F.col("second"), value, "rx"))))
-    return grouped.filter((F.col("i") == F.col("j")) | (F.size("rn") > 0)).select("ln", "lx", "rn", "rx")
+    pairs = pairs.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", *values)
+    lists = [F.collect_list(F.when(F.col("second") if side else ~F.col("second"), F.col(v))).alias(f"l{side}{k}") for side in (0, 1) for k, v in enumerate(["node", *values])]
+    grouped = pairs.groupBy(*keys, "i", "j").agg(*lists)
+    return grouped.filter((F.col("i") == F.col("j")) | (F.size("l10") > 0)).select(*(f"l{side}{k}" for side in (0, 1) for k in range(len(values) + 1)))
 
 
 def lanes(bits: int) -> int:
@@ -367,28 +403,41 @@ def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, apart int")
 
 
-def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, sure: int | None = None) -> DataFrame:
-    """Links (a, b, apart) whose connected components are those of all pairs that lie in
-    one bucket and differ in `tau` bits or fewer. `prints`: (node long,
-    fingerprint binary), fingerprints distinct. Pairs up to `guaranteed` bits
-    (default: tau) always share a bucket.
-
-    Buckets over BUCKET members are handled without emitting their pairs. Up to
-    two bits, by neighbours at one bit: two fingerprints within two bits share
-    one, and at most 65 share any, so this is linear and has no hot key. Beyond,
-    by pairs of blocks, each compared in one task, which gives a forest of the links of
-    `sure` bits or fewer (default: tau) and all others between its trees.
-    """
-    guaranteed = tau if guaranteed is None else guaranteed
-    plan = make_plan(prints, bits, guaranteed, choices or tuple(range(2, guaranteed + 3)))
+def shared_buckets(prints: DataFrame, plan: Plan) -> DataFrame:
+    """Rows of buckets() whose bucket has several members, with its size."""
     rows = buckets(prints, plan)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = cut(rows.join(sizes, ["part", "key"]))
+    return cut(rows.join(sizes, ["part", "key"]))
+
+
+def small_links(shared: DataFrame, prints: DataFrame, bits: int, tau: int) -> DataFrame:
+    """Links (a, b, apart) of the buckets of up to BUCKET members."""
     whole, near, sketch = bits <= 64 * LANES, sketch_distance(bits, tau), [f"s{k}" for k in range(lanes(bits))]
     small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", *sketch)).alias("m"))
     links = small.select("m.node", *(f"m.{c}" for c in sketch)).mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
-    links = links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
-    hot = shared.filter(F.col("size") > BUCKET)
+    return links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
+
+
+def block_links(hot: DataFrame, prints: DataFrame, trees: DataFrame, sure: int, tau: int, turn: int | None) -> DataFrame:
+    """Links (a, b, apart) between different trees (node, component) in the buckets `hot`,
+    which are compared block by block; buckets of one tree are left out."""
+    rows = hot.select("part", "key", "size", "node").join(trees, "node", "left").withColumn("tree", F.coalesce("component", "node"))
+    mixed = rows.groupBy("part", "key").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).filter("lo <> hi").select("part", "key")
+    rows = rows.join(mixed, ["part", "key"]).join(prints.select("node", "fingerprint"), "node")
+    return _dealt(rows, ["part", "key"], ["fingerprint", "tree"]).mapInArrow(lambda it: _blocks(it, sure, tau, turn), "a long, b long, apart int")
+
+
+def near_links(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...] | None = None) -> DataFrame:
+    """Links (a, b, apart) whose connected components are those of all pairs that differ in
+    `tau` bits or fewer. `prints`: (node long, fingerprint binary), fingerprints distinct.
+
+    Buckets over BUCKET members are handled without emitting their pairs. Up to
+    two bits, by neighbours at one bit: two fingerprints within two bits share
+    one, and at most 65 share any, so this is linear and has no hot key. Beyond,
+    by pairs of blocks, each compared in one task, which gives a forest of the links.
+    """
+    shared = shared_buckets(prints, make_plan(prints, bits, tau, choices or tuple(range(2, tau + 3))))
+    links, hot = small_links(shared, prints, bits, tau), shared.filter(F.col("size") > BUCKET)
     if not hot.take(1):
         return links
     if bits == 64 and tau <= 2:
@@ -396,10 +445,32 @@ def near_links(prints: DataFrame, bits: int, tau: int, guaranteed: int | None =
             raise ValueError("neighbours at one bit give all links within two bits")
         shared_by = hot.select("node", F.col("s0").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
         return links.unionByName(shared_by.select(F.array_min("n").alias("a"), F.explode("n").alias("b"), F.lit(0).alias("apart")).filter("a <> b"))
-    hot = hot.join(prints.select("node", "fingerprint"), "node")
-    grouped = _dealt(hot, ["part", "key"], "fingerprint")
-    firm = tau if sure is None else sure
-    return links.unionByName(grouped.mapInArrow(lambda it: _blocks(it, firm, tau), "a long, b long, apart int"))
+    alone = prints.select("node", F.col("node").alias("component"))
+    return links.unionByName(block_links(hot, prints, alone, tau, tau, 0))
+
+
+def alike_links(nodes: DataFrame, texts: DataFrame, bits: int, tau: int, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs that share a bucket, differ in
+    `tau` bits or fewer and whose texts share `similarity` of their shingles, whatever
+    the size of the bucket. `nodes`: (node, fingerprint, few); `texts`: (id, text).
+
+    Large buckets come after what the small ones link. There only nodes of different
+    components are compared, in turns: a forest of the candidates is confirmed and its
+    links join components, once by the nearest partners and once by others; the last
+    turn confirms every candidate that is left between components.
+    """
+    mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
+    shared = shared_buckets(nodes, wide_plan(nodes, bits, math.ceil(mean)))
+    links = cut(small_links(shared, nodes, bits, tau))
+    done = cut(confirm(links, texts, words, similarity, sure).unionByName(few_links(nodes, similarity)))
+    hot = shared.filter(F.col("size") > BUCKET)
+    for turn in (0, 1, None) if hot.take(1) else ():
+        more = cut(block_links(hot, nodes, components(done), sure, tau, turn).distinct())
+        if not more.take(1):
+            break
+        done = cut(done.unionByName(confirm(more, texts, words, similarity, sure)))
+    return done
 
 
 def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -421,22 +492,27 @@ def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
                 both, n = left + right, len(left)
                 sets = [frozenset(np.frombuffer(v, np.uint64).tolist()) for v in lx + rx]
 
-                def near(n: int = n, sets: list = sets, across: bool = bool(right)) -> Iterator[tuple[int, int]]:
-                    for i in range(n):
-                        for j in range(n if across else i + 1, len(sets)):
-                            u, v = sets[i], sets[j]
-                            if min(len(u), len(v)) >= similarity * max(len(u), len(v)):
-                                common = len(u & v)
-                                if common >= similarity * (len(u) + len(v) - common):
-                                    yield i, j
-
-                p, q = itertools.tee(near())
-                kept = list(forest(len(both), (i for i, _ in p), (j for _, j in q)))
+                up, kept = list(range(len(both))), []
+
+                def root(i: int, up: list = up) -> int:
+                    while up[i] != i:
+                        up[i] = i = up[up[i]]
+                    return i
+
+                for i in range(n):  # what is linked already need not be compared
+                    for j in range(n if right else i + 1, len(sets)):
+                        r, s = root(i), root(j)
+                        u, v = sets[i], sets[j]
+                        if r != s and min(len(u), len(v)) >= similarity * max(len(u), len(v)):
+                            common = len(u & v)
+                            if common >= similarity * (len(u) + len(v) - common):
+                                up[r] = s
+                                kept.append((i, j))
                 yield pa.RecordBatch.from_arrays([pa.array([both[k[c]] for k in kept], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     rows = nodes.filter("few is not null").select("node", "few").mapInArrow(keys, "key long, node long, few binary")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return _dealt(rows.join(sizes, "key"), ["key"], "few").mapInArrow(alike, "a long, b long")
+    return _dealt(rows.join(sizes, "key"), ["key"], ["few"]).mapInArrow(alike, "a long, b long")
 
 
 def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
@@ -473,15 +549,16 @@ def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, s
     return firm.unionByName(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
 
-def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2, guaranteed: int | None = None, choices: tuple[int, ...] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2, similarity: float | None = None, choices: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint binary, component long) of every row.
 
     Component: the least id that links of `tau` bits or fewer reach, the row's
     own included. With `similarity` a link must also share so much of its shingles;
     this is checked on the texts, unless the fingerprints are so near that it is
     beyond doubt, whatever the size of their bucket; fingerprints are then those of
-    the distinct shingles, and texts of few shingles are compared on these. Rows of equal fingerprints are one node. Null and empty texts
-    have fingerprint zero; repeated rows are kept, rows of one id are one
+    the distinct shingles, and texts of few shingles are compared on these. Rows of
+    equal fingerprints are one node. Null and empty texts have fingerprint zero; a very
+    long text is a portion of its own; repeated rows are kept, rows of one id are one
     document; a row without id links to nothing and has no component; other
     columns are left out; an empty table gives no rows.
     """
@@ -489,13 +566,10 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 64, tau: int = 2,
     few = [] if similarity is None else [F.max("few").alias("few")]
     nodes = cut(prints.filter("id is not null").groupBy("fingerprint").agg(F.min(F.col("id").cast("long")).alias("node"), *few))
     if similarity is None:
-        links = near_links(nodes, bits, tau, guaranteed, choices).select("a", "b")
+        links = near_links(nodes, bits, tau, choices).select("a", "b")
     else:
-        mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
-        sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
-        near = cut(near_links(nodes, bits, tau, guaranteed, choices, sure))
         texts = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-        links = confirm(near, texts, words, similarity, sure).unionByName(few_links(nodes, similarity))
+        links = alike_links(nodes, texts, bits, tau, words, similarity)
     # Rows of one id are one document, whatever their texts.
     several = prints.filter("id is not null").groupBy("id").agg(F.min("fingerprint").alias("p"), F.max("fingerprint").alias("q")).filter("p <> q").select("id")
     several = prints.join(several, "id").join(nodes, "fingerprint").select(F.col("node").alias("a"), F.col("id").cast("long").alias("b"))
