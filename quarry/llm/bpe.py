@@ -29,9 +29,9 @@ NONE = np.int64(1 << 62)
 SHORT, PLACE, ROOM = 64, 7, 1 << 16
 #: Bytes of a worker's caches of words and of pieces, in each of two generations, and
 #: what an entry takes besides its strings. One portion of text may go beyond.
-WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 64 << 20, 32 << 20, 300
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 40 << 20, 20 << 20, 300
 #: Bytes of text that a worker encodes at a time.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 class Kept:
