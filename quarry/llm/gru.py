@@ -17,6 +17,8 @@ import numpy as np
 HIDDEN = 24
 CLASSES = 40
 BUCKETS = 32
+#: Rows of logits at a time, which stay in the processor's cache.
+ROWS = 2048
 
 
 @dataclass
@@ -86,66 +88,96 @@ def lanes(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     def __init__(self, lay: Layout, params: dict[str, np.ndarray], sums: dict[str, np.ndarray] | None = None):
         self.lay, self.p, self.class_of = lay, params, lay.class_of()
+        self.several = np.concatenate([np.diff(lay.edges) > 1, np.zeros(lay.n_buckets, bool)])
         self.sums = sums or {k: np.full(v.shape, 1e-6, np.float32) for k, v in params.items()}
 
     # -- forward -------------------------------------------------------------
 
     def _window(self, h: np.ndarray, x: np.ndarray, start: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each input of the window (steps, lanes, HIDDEN)."""
+        """States after each input of the window (steps, lanes, HIDDEN). Within, a row is a
+        feature of all lanes, so that every operation is one run over memory."""
         p, d = self.p, HIDDEN
-        given = p["input"][x] + p["gate"]
-        out, tape = np.empty((*x.shape, d), np.float32), []
-        state = p["state"]
+        given = (p["input"][x] + p["gate"]).transpose(0, 2, 1)
+        out, tape = np.empty((*x.shape, d), p["state"].dtype), []
+        state, h = np.ascontiguousarray(p["state"].T), np.ascontiguousarray(h.T)
         for t in range(len(x)):
-            h = h * ~start[t][:, None]
-            s = h @ state
-            zr = 1 / (1 + np.exp(-(given[t, :, : 2 * d] + s[:, : 2 * d])))
-            z, r = zr[:, :d], zr[:, d:]
-            c = np.tanh(given[t, :, 2 * d :] + r * s[:, 2 * d :])
+            if start[t].any():
+                h = np.where(start[t], 0, h).astype(h.dtype)
+            s = state @ h
+            zr = s[: 2 * d] + given[t, : 2 * d]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:d], zr[d:]
+            c = r * s[2 * d :]
+            c += given[t, 2 * d :]
+            np.tanh(c, out=c)
             if keep:
-                tape.append((h, z, r, c, s[:, 2 * d :]))
-            h = c + z * (h - c)
-            out[t] = h
+                tape.append((h, z, r, c, s[2 * d :]))
+            h = z * (h - c)
+            h += c
+            out[t] = h.T
         return out, tape
 
     def _outputs(self, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict[str, np.ndarray]]:
-        """Natural log-probabilities of the targets; with `learn` also the gradients."""
+        """Natural log-probabilities of the targets; with `learn` also the gradients.
+
+        Rows go by target, so those of a class are neighbours; a column of ones takes the
+        biases along. Errors are never written out: the softmax and target parts of the
+        gradients are summed apart, the latter for all rows at once.
+        """
         p, lay = self.p, self.lay
+        order = np.argsort(y.astype(np.int16) if lay.n_words + lay.n_buckets < 1 << 15 else y, kind="stable")
+        y = y[order]
         c = self.class_of[y]
-        rows = np.arange(len(y))
-        logits = h @ p["class"] + p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        logp = logits[rows, c] - np.log(total[:, 0])
+        x = np.empty((len(y), HIDDEN + 1), h.dtype)
+        x[:, :HIDDEN], x[:, HIDDEN] = h[order], 1
+        logp = np.zeros(len(y), h.dtype)
+        dx = np.zeros_like(x) if learn else None
         grads: dict[str, np.ndarray] = {}
-        dh = None
-        if learn:
-            e /= total
-            e[rows, c] -= 1
-            grads["class"], grads["class_bias"] = h.T @ e, e.sum(0)
-            dh = e @ p["class"].T
-            grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(lay.n_classes + 1))
-        for k in range(lay.n_classes):
-            a, b = int(lay.edges[k]), int(lay.edges[k + 1])
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own) or b - a == 1:
-                continue
-            x, at = h[own], y[own] - a
-            logits = x @ p["word"][:, a:b] + p["word_bias"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
-            i = np.arange(len(own))
-            logp[own] += logits[i, at] - np.log(total[:, 0])
+        several = self.several[c]  # whose class has several words
+        blocks = [(i, min(i + ROWS, len(y)), 0, len(p["class_bias"])) for i in range(0, len(y), ROWS)]
+        for name, target, rows, own in (("class", c, slice(None), blocks), ("word", y, several, self._segments(c))):
+            w = np.concatenate([p[name].T, p[name + "_bias"][:, None]], 1)
+            # no logit is above this, so no exponential overflows
+            top = float((np.abs(p[name]).sum(0) + p[name + "_bias"]).max())
+            if safe := top - float(p[name + "_bias"].min()) < 60:
+                w[:, HIDDEN] -= top
+            ones, sums, total = np.ones(len(w), w.dtype), np.zeros_like(w), np.ones(len(y), w.dtype)
+            most = np.zeros(len(y), w.dtype)
+            for i, j, a, b in own:
+                part, given = w[a:b], x[i:j]
+                e = given @ part.T
+                if not safe:
+                    most[i:j] = e.max(1)
+                    e -= most[i:j, None]
+                np.exp(e, out=e)
+                total[i:j] = size = e @ ones[a:b]
+                if learn:
+                    share = (1 / size)[:, None]
+                    sums[a:b] += e.T @ (given * share)
+                    back = e @ part
+                    back *= share
+                    dx[i:j] += back
+            given, target = x[rows], target[rows]
+            chosen = w[target]
+            logp[rows] += np.einsum("ij,ij->i", given, chosen) - most[rows] - np.log(total[rows])
             if learn:
-                e /= total
-                e[i, at] -= 1
-                grads["word"][:, a:b], grads["word_bias"][a:b] = x.T @ e, e.sum(0)
-                dh[own] += e @ p["word"][:, a:b].T
-        return logp, dh, grads
+                dx[rows] -= chosen
+                if len(target):
+                    new = np.flatnonzero(np.diff(target, prepend=-1))
+                    sums[target[new]] -= np.add.reduceat(given, new, 0)
+                grads[name], grads[name + "_bias"] = np.ascontiguousarray(sums[:, :HIDDEN].T), sums[:, HIDDEN]
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(len(order))
+        return logp[back_to], dx[back_to, :HIDDEN] if learn else None, grads
+
+    def _segments(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Of sorted classes the rows of each class with several words, and its words."""
+        cuts = np.searchsorted(c, np.arange(self.lay.n_classes + 1)).tolist()
+        edges = self.lay.edges.tolist()
+        return [(i, j, a, b) for i, j, a, b in zip(cuts, cuts[1:], edges, edges[1:]) if j > i and b - a > 1]
 
     def _windows(self, tokens: list[np.ndarray], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Inputs, starts, targets (-1: none) and places of each window, and the lanes'
@@ -204,25 +236,34 @@ class Network:
         return learnt
 
     def _back(self, x: np.ndarray, start: np.ndarray, back: np.ndarray, tape: list, grads: dict[str, np.ndarray]) -> None:
-        d, state = HIDDEN, self.p["state"]
-        given = np.empty((*x.shape, 3 * d), np.float32)
-        grads["state"] = np.zeros_like(state)
-        dh = np.zeros_like(back[0])
+        d, state = HIDDEN, np.ascontiguousarray(self.p["state"])
+        given = np.empty((len(x), 3 * d, x.shape[1]), state.dtype)
+        total = np.zeros_like(state)
+        dh = np.zeros((d, x.shape[1]), state.dtype)
+        u = np.empty_like(given[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, c, s = tape[t]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
+            dh += back[t].T
             g = given[t]
-            g[:, :d] = dh * (h - c) * z * (1 - z)
-            g[:, d : 2 * d] = dc * s * r * (1 - r)
-            g[:, 2 * d :] = dc
-            u = g.copy()
-            u[:, 2 * d :] *= r
-            grads["state"] += h.T @ u
-            dh = (dh * z + u @ state.T) * ~start[t][:, None]
-        flat, ids = given.reshape(-1, 3 * d), x.ravel()
+            dc, dz, dr = g[2 * d :], g[:d], g[d : 2 * d]
+            np.multiply(dh, 1 - z, out=dc)
+            dc *= 1 - c * c
+            np.subtract(h, c, out=dz)
+            dz *= z * (1 - z)
+            dz *= dh
+            np.multiply(dc, s, out=dr)
+            dr *= r * (1 - r)
+            u[: 2 * d] = g[: 2 * d]
+            np.multiply(dc, r, out=u[2 * d :])
+            total += h @ u.T
+            dh *= z
+            dh += state @ u
+            if start[t].any():
+                dh[:, start[t]] = 0
+        grads["state"] = total
+        flat, ids = np.ascontiguousarray(given.transpose(0, 2, 1)).reshape(-1, 3 * d), x.ravel()
         grads["gate"] = flat.sum(0)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16) if self.lay.n_words + self.lay.n_buckets < 1 << 15 else ids, kind="stable")
         ids = ids[order]
         at = np.flatnonzero(np.diff(ids, prepend=-1))
         grads["input"] = (ids[at], np.add.reduceat(flat[order], at, 0))

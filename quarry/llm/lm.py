@@ -27,8 +27,9 @@ from .common import bounded_sample, buffers, cut, most_frequent, remainder, slic
 OUTPUT_WORDS, FREQUENT = 2_000, 150_000
 #: One output for so many distinct words of the corpus, and the outputs at most: about 6 MB of parameters.
 WORDS_AN_OUTPUT, MOST_OUTPUTS = 64, 16_000
-#: Words longer than this are never broadcast, so the table's size is bounded.
-LONGEST = 64
+#: Bytes of a word that is broadcast at the utmost, and of one that is a SHARE-th of all
+#: words: the table is bounded, and no word outside it is a hot key.
+LONGEST, LONGEST_HOT, SHARE = 64, 16_384, 1000
 #: Texts from which the network starts, and the bytes of each at most.
 WARM_TEXTS, WARM_BYTES = 600, 20_000
 SLICES = 64
@@ -89,7 +90,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From counts of all words; only FREQUENT words and BUCKETS sums are collected."""
-    top = most_frequent(counts.filter(F.octet_length("word") <= LONGEST), "n", FREQUENT).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    size, hot = F.octet_length("word"), F.col("n") * SHARE >= (counts.agg(F.sum("n")).first()[0] or 0)
+    top = most_frequent(counts.filter((size <= LONGEST) | hot & (size <= LONGEST_HOT)), "n", FREQUENT).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, n = [bytes(w) for w in top.word], top.n.to_numpy(np.int64)
     own = words[: max(OUTPUT_WORDS, min(MOST_OUTPUTS, counts.count() // WORDS_AN_OUTPUT))]
     skip = set(own)
@@ -177,7 +179,7 @@ def score_texts(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
     of every whole text: log10 probabilities by training frequencies and by the
     network, which learn from rows outside the held-out fold.
 
-    A text without words is its end alone. A word that training lacks has the
+    A text without words is its end alone; a very long one is scored whole, in windows. A word that training lacks has the
     probability of an unknown one. Repeated rows are scored alike, null ids are
     kept and count as the empty text for the fold, other columns are left out; an
     empty table gives no rows, and without training rows all words are unknown.
@@ -213,7 +215,7 @@ def score_texts(df: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
 
     scored = cut(rows.select("_id", "_held", "_text").mapInArrow(run, f"id {kind}, held_out boolean, {_SCORED}").withColumn("row", F.monotonically_increasing_id()))
     missed = scored.select("row", F.explode("missed").alias("m")).select("row", "m.word", F.col("m.n").alias("times"))
-    # words of the table never miss, so no word here is a hot key
+    # words of the table never miss, and longer ones are so rare that adaptive execution deals with them
     found = missed.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("more"), F.sum("times").alias("known_more"))
     out = scored.drop("missed").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
