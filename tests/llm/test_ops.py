@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,64 @@ def test_decontamination(spark, docs, empty, odd):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == set(found)
 
 
+def test_texts_with_a_seed_and_no_key(spark):
+    rng = random.Random(11)
+    item = [f"q{k}" for k in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, "only seven words are in this item")], "item_id long, text string")
+    rows = []
+    for n in range(60):  # three words of the item in a row, and no more of them
+        at = rng.randrange(37)
+        rows.append((n, " ".join([f"u{rng.randrange(999)}" for _ in range(50)] + item[at : at + 3] + [f"u{rng.randrange(999)}" for _ in range(50)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontaminate.index_items([1], [" ".join(item)])
+    assert not any(decontaminate.find(index, pa.array([t])) for _, t in rows)
+    assert decontaminate.find_leaks(docs, benchmark).count() == 0
+    clean = decontaminate.decontaminate(docs, benchmark)
+    assert clean.count() == 60 and "Join" not in (plan := clean._jdf.queryExecution().toString()) and "Exchange" not in plan
+    several = decontaminate.decontaminate(docs.union(benchmark), benchmark, item_bytes=40)
+    assert several.count() == 60
+
+
+def test_each_row_is_judged_by_itself(spark):
+    benchmark = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, PASSAGE), (None, "clean text"), (4, "x " + PASSAGE), (4, "clean as well"), (5, None)], "doc_id long, text string")
+    assert sorted(map(str, decontaminate.decontaminate(docs, benchmark).collect())) == sorted(["Row(doc_id=None, text='clean text')", "Row(doc_id=4, text='clean as well')", "Row(doc_id=5, text=None)"])
+
+
+def test_words_are_compared_and_not_their_hashes(monkeypatch):
+    """With hashes that take few values, everything is a candidate."""
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda data, starts, ends: common.mix((ends - starts).astype(np.uint64)))
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10, 99)}" for _ in range(12)]
+    texts = []
+    for n in range(40):
+        other = [f"w{rng.randrange(10, 99)}" for _ in range(12)] if n % 2 else list(item)
+        other[n % 12] = "w00"
+        texts.append(" ".join([f"w{rng.randrange(10, 99)}" for _ in range(5)] + other + ["zz"] * 5))
+    got = {r for r, *_ in decontaminate.find(decontaminate.index_items([1], [" ".join(item)]), pa.array(texts))}
+    assert got == {n for n, t in enumerate(texts) if decontaminate.best_match(item, t.split())[0] <= decontaminate.allowed(12)} and len(got) < 40
+
+
+def test_best_match_against_the_plain_table():
+    def plain(item, text):
+        best = len(item)
+        for a in range(len(text) + 1):
+            row = list(range(len(item) + 1))
+            for word in text[a : a + 2 * len(item)]:
+                new = [row[0] + 1]
+                for i, w in enumerate(item):
+                    new.append(min(row[i] + (w != word), row[i + 1] + 1, new[i] + 1))
+                row = new
+                best = min(best, row[-1])
+        return best
+
+    rng = random.Random(7)
+    for _ in range(200):
+        item, text = ([rng.choice("abcd") for _ in range(rng.randrange(1, n))] for n in (7, 12))
+        d, start, end = decontaminate.best_match(item, text)
+        assert d == plain(item, text) and (d == len(item) or 0 <= start < end <= len(text))
+
+
 def test_planted_edits_are_found():
     rng = random.Random(1)
     items = [[f"v{rng.randrange(4000)}" for _ in range(rng.randrange(3, 60))] for _ in range(40)]
@@ -126,7 +185,7 @@ def test_large_buckets_are_linked_without_pairs(spark):
             parent[b] = a
     assert all(found.get(i, i) == root(i) for i in range(len(x)))
     wide = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big") * 2)) for i, p in enumerate(some[:300])], "node long, fingerprint binary")
-    blocks = {r.node: r.component for r in common.components(simhash.near_links(wide, 128, 4, 4, (5,))).collect()}
+    blocks = {r.node: r.component for r in common.components(simhash.near_links(wide, 128, 4, choices=(5,))).collect()}
     x = x[:300]
     linked = {i: {int(j) for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= 2)} for i in range(300)}
     seen: dict[int, int] = {}
@@ -149,12 +208,62 @@ def test_similarity_is_checked_on_texts(spark):
         for k in range(1, 6):  # k words changed, far from each other
             edited = [f"new{k}" if j % 50 == 7 and j // 50 < k * 2 - 1 else w for j, w in enumerate(own)]
             rows.append((10 * i + k, " ".join(edited)))
-    found = {r.doc_id: r.component for r in simhash.near_duplicates(table(spark, rows), 5, 512, 94, 39, (40,), 0.8).collect()}
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(table(spark, rows), 5, 512, 94, 0.8).collect()}
     sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
     alike = [(a, b) for i in range(40) for a in range(10 * i, 10 * i + 6) for b in range(a + 1, 10 * i + 6) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert sum(found[a] == found[b] for a, b in alike) >= 0.97 * len(alike) and all(found[d] // 10 == d // 10 for d, _ in rows)
 
 
+def test_parts_follow_the_number_of_rows():
+    assert simhash.layouts_for(200_000, 512, 78) == (39, 1)
+    for n in (10**7, 10**9):
+        m, layouts = simhash.layouts_for(n, 512, 78)
+        width = 512 // m
+        assert n / 2**width <= simhash.BUCKET and 1 - (1 - math.comb(434, width) / math.comb(512, width)) ** (m * layouts) >= 0.985
+
+
+def test_more_layouts_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (60, 64), dtype=np.uint8)
+    near = np.packbits(np.unpackbits(base, axis=1) ^ (rng.random((60, 512)) < 0.1).astype(np.uint8), axis=1)
+    nodes = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate([*base, *near])], "node long, fingerprint binary")
+    monkeypatch.setattr(simhash, "PART_BITS", 20)
+    assert simhash.layouts_for(120, 512, 78)[1] > 1
+    shared = simhash.shared_buckets(nodes, simhash.wide_plan(nodes, 512, 78))
+    found = {(r.a, r.b) for r in simhash.small_links(shared, nodes, 512, 94).collect()}
+    want = {(i, 60 + i) for i in range(60) if np.bitwise_count(base[i] ^ near[i]).sum() <= 94}
+    assert len(want) > 50 and not found - want and len(found & want) >= 0.95 * len(want)
+
+
+def test_candidates_of_a_large_group_are_a_forest(spark):
+    """All pairs of the group may be near and have to be confirmed; a turn names a few of each node."""
+    rng = np.random.default_rng(5)
+    base = rng.random(512) < 0.5
+    prints = [np.packbits(base ^ (rng.random(512) < 0.075)).tobytes() for _ in range(250)]
+    nodes = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, fingerprint binary")
+    x = np.frombuffer(b"".join(prints), np.uint64).reshape(250, 8)
+    pairs = sum(int(((d := np.bitwise_count(x[i] ^ x[i + 1 :]).sum(1)) > 61).sum() - (d > 94).sum()) for i in range(250))
+    hot = spark.range(250).selectExpr("0 part", "cast(1 as long) key", "cast(250 as long) size", "id node")
+    alone = nodes.select("node", F.col("node").alias("component"))
+    turns = {t: {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.block_links(hot, nodes, alone, 61, 94, t).collect()} for t in (0, 1, None)}
+    assert pairs > 20_000 and len(turns[0]) <= 249 and len(turns[1]) <= 249 and len(turns[None]) > 3_000
+    linked = spark.createDataFrame(list(turns[0]), "a long, b long")
+    whole = common.components(linked)
+    assert simhash.block_links(hot, nodes, whole, 61, 94, None).count() == 0 and whole.select("component").distinct().count() == 1
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 300)] + [(i, 900) for i in range(400, 700)] + [(rng.randrange(300), 400)] + [(5000 + i, 5001 + i) for i in range(20)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {r.node: r.component for r in common.components(links).collect()}
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    assert {r.node: r.component for r in common.components(links).collect()} == want
+    monkeypatch.setattr(common, "HUB_ROWS", 20)
+    monkeypatch.setattr(common, "HUB_SHARE", 50)
+    assert {r.node: r.component for r in common.components(links).collect()} == want and set(want.values()) == {0, 5000}
+
+
 def test_threshold_allocation():
     cost, t = simhash.allocate([22, 21, 21], [2**-22, 2**-21, 2**-21], 10**6, 2)
     assert t == [0, 0, 0] and cost > 0
@@ -180,6 +289,23 @@ def test_warc(spark, tmp_path):
     assert set(small.values()) == {"response"}
 
 
+def test_archives_are_read_back_by_many_tasks(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id page_id", "concat('http://h', id, '.example/') url", "concat('page ', id) html").repartition(3)
+    path = str(tmp_path / "many")
+    warc.write_archive(pages, path, block_lines=10)
+    read = warc.read_archive(spark, path).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in read.groupBy("task").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 40 and sum(sizes) == 300
+
+
+def test_archives_lie_where_spark_resolves_their_path(spark, tmp_path):
+    assert warc.resolved(spark, str(tmp_path / "x")) == f"file://{tmp_path}/x" == warc.resolved(spark, f"file:{tmp_path}/x") == warc.resolved(spark, f"file://{tmp_path}/x")
+    with pytest.raises(ZeroDivisionError), warc._Appender(f"file://{tmp_path}", "archive", ".gz") as out:
+        out.add(b"kept")
+        raise ZeroDivisionError
+    assert out.out.closed
+
+
 def test_token_counts(docs, rows, empty, odd):
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokens.count_tokens(docs, VOCABULARY).collect()}
     assert got == {d: (len((t or "").encode()), len(brute.LIBRARY.encode(t or "", add_special_tokens=False).ids)) for d, t in rows}
@@ -187,6 +313,25 @@ def test_token_counts(docs, rows, empty, odd):
     assert tokens.count_tokens(empty, VOCABULARY).count() == 0 and tokens.count_tokens(odd, VOCABULARY).count() == odd.count()
 
 
+def test_counting_has_no_exchange_and_a_bounded_cache(docs, rows, monkeypatch):
+    plan = tokens.count_tokens(docs.coalesce(1), VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == docs.coalesce(1)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2_000)
+    counts = tokens.Counts(VOCABULARY)
+    for _ in range(2):
+        for _, t in rows:
+            assert counts.of([(t or "").encode()], {}) == [len(brute.LIBRARY.encode(t or "", add_special_tokens=False).ids)]
+
+
+def test_only_known_files_are_cut_at_white_space(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    assert tokens.Counts(VOCABULARY).words and not tokens.Counts(path).words
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, path).collect()} == {d: len(own.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+
+
 def test_sentence_pieces(docs, rows):
     import sentencepiece
 
@@ -205,13 +350,42 @@ def test_substrings(spark, docs, rows, empty, odd):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup_substrings(same).collect()) == [(0, 0), (1, 60), (1, 60), (2, 60)]
 
 
-def test_settling_in_small_portions(spark, docs, rows, monkeypatch):
+def test_settling_in_small_portions(monkeypatch):
     monkeypatch.setattr(substrings, "GATHERED", 50)
     part = pa.RecordBatch.from_pydict({"ord": [1, 2], "key": [1, 2], "_text": ["x " + PASSAGE, PASSAGE + " y"]})
-    sent = list(substrings._anchor_rows(iter([part]), 20))
+    sent = list(substrings._anchor_rows(iter([part]), 20, 10, None))
     assert sent and all(b.num_rows for b in sent)
 
 
+def test_a_common_passage_is_a_row_a_task(monkeypatch):
+    """However many portions a task has, a hash that repeats in it goes out once."""
+    monkeypatch.setattr(substrings, "GATHERED", 50)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 300)
+    batches = [pa.RecordBatch.from_pydict({"ord": [4 * n + k for k in range(4)], "key": [0] * 4, "_text": [f"x{n}{k} " + PASSAGE for k in range(4)]}) for n in range(30)]
+    rows = [r for b in substrings._anchor_rows(iter(batches), 20, 5, None) for r in b.to_pylist() if r["many"] is None]
+    assert len(batches) == 30 and max(Counter(r["slot"] for r in rows).values()) <= 2
+    rows = [r for b in substrings._window_rows(iter(batches), 20, None) for r in b.to_pylist()]
+    single = Counter((r["h1"], r["rest"] >> 32) for r in rows if r["many"] is None)
+    assert max(single.values()) == 1 and sum(len(r["many"]) // 4 for r in rows if r["many"]) == 119 * 41
+
+
+def test_levels_double():
+    assert substrings.levels(20) == [5, 10, 20] and substrings.levels(9) == [5, 9] and substrings.levels(7) == [7] and substrings.levels(100) == [7, 13, 25, 50, 100]
+
+
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    data, offsets = common.buffers(pa.array([one, two]))
+    starts, ends, _ = common.word_spans(data, offsets)
+    assert len(set(common.word_hashes(data, starts, ends).tolist())) == 1
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *words])), (2, " ".join([two, *words])), (3, " ".join(["x", two, *words, "y"]))]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
 def test_media(docs, rows, empty, odd):
     stored = jpeg.store_texts(docs)
     read = jpeg.read_media(stored, keep=("doc_id", "n_bytes")).collect()
@@ -269,6 +443,19 @@ def test_other_jpegs():
     assert (frame.width, frame.height) == (32, 30)
     rows = np.array(want).reshape(2, 2, 2, 2).transpose(0, 2, 1, 3).reshape(4, 4)
     assert (grid == np.clip((rows * 4 + 4) // 8 + 128, 0, 255)).all()
+    # a scan for each component: luminance block by block, colours in scans of their own
+    scans, values = b"", [rng.randrange(-100, 100) for _ in range(16)]
+    for component, blocks in ((1, values), (2, [3] * 4), (3, [5] * 4)):
+        bits, before = "", 0
+        for value in blocks:
+            bits += block(value - before, rng.choice([0, 2, 63]))
+            before = value
+        bits += "1" * (-len(bits) % 8)
+        scans += part(0xDA, bytes([1, component, 0, 0, 63, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    apart = head + part(0xC4, bytes([0]) + dc + bytes([0x10]) + ac) + scans + b"\xff\xd9"
+    (frame, grid), = jpeg.read_many([apart])[0]
+    assert (frame.width, frame.height) == (32, 30) and (grid == np.clip((np.array(values).reshape(4, 4) * 4 + 4) // 8 + 128, 0, 255)).all()
+    assert jpeg.read_many([apart[:-2], apart + image])[0] is None and len(jpeg.read_many([apart + image])[0]) == 2
 
 
 def test_sharding(spark, docs, rows, empty, odd):
@@ -291,6 +478,38 @@ def test_sharding(spark, docs, rows, empty, odd):
     assert sharding.assign_shards(empty).count() == 0 and sharding.assign_shards(odd, 300).count() == odd.count()
 
 
+def test_shards_split_where_they_are_full(spark):
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randrange(400)) for i in range(400)] + [(1000, "y" * 9000)] + [(7, "same " * 30)] * 60
+    df = table(spark, rows)
+    got = sharding.assign_shards(df, 1000).collect()
+    depths = {r.shard_depth for r in got}
+    assert len(got) == 461 and len({(r.shard_depth, r.shard_prefix) for r in got}) > 60 and len(depths) > 3
+    assert {r.doc_id for r in got if r.oversized} == {1000, 7} and all(r.shard_bytes <= 1000 for r in got if not r.oversized)
+    plan = sharding.assign_shards(df, 1000)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Cartesian" not in plan
+
+
+def test_shards_are_written(spark, tmp_path, docs, odd):
+    for df, limit in ((docs, 3000), (odd, 10**6), (odd.limit(0), 100)):
+        path = str(tmp_path / str(limit))
+        sharding.write_shards(df, path, limit)
+        if not df.take(1):
+            continue
+        back = spark.read.parquet(path)
+        assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+        want = {(r.doc_id, r.shard_depth, r.shard_prefix) for r in sharding.assign_shards(df, limit).collect()}
+        assert {(r.doc_id, r.shard_depth, r.shard_prefix) for r in back.collect()} == want
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    kept = bpe.Kept(5_000)
+    for i in range(200):
+        for k in kept.missing({f"w{i}", f"w{i // 2}", "often"}):
+            kept.put(k, k.encode(), b"x" * 10)
+        assert kept.ids["often"] == b"often" and kept.held <= 6_000 and len(kept.older[0]) < 30
+
+
 def test_bpe(docs, rows, empty, odd):
     for r in bpe.encode(docs, VOCABULARY).collect():
         ids = brute.LIBRARY.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids

@@ -8,7 +8,7 @@ from quarry.llm import gru, lm, simhash
 
 def near(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = simhash.near_duplicates(docs, pipeline.SHINGLE_WORDS, pipeline.BITS, pipeline.DIFFERING, pipeline.GUARANTEED, pipeline.PARTS, pipeline.SIMILARITY)
+    found = simhash.near_duplicates(docs, pipeline.SHINGLE_WORDS, pipeline.BITS, pipeline.DIFFERING, pipeline.SIMILARITY)
     return {r.doc_id: r.component for r in found.collect()}
 
 
@@ -43,6 +43,47 @@ def test_repeated_lines_and_short_texts_have_near_copies(spark):
     assert all(found[i] == i - i % 2 for i in range(len(texts)))
 
 
+def test_recall_and_precision_of_a_large_group(spark):
+    """All pairs of a group of 200 near copies that fills buckets, and of 100 other texts."""
+    rng = random.Random(12)
+    first = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(200):
+        words = list(first)
+        for at in rng.sample(range(300), rng.choice([1, 2, 4, 12, 40])):
+            words[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"o{rng.randrange(10**6)}" for _ in range(120)) for _ in range(100)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in alike:
+        low, high = sorted((root(i), root(j)))
+        up[high] = low
+    found = near(spark, texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    want, got = {p for p in pairs if root(p[0]) == root(p[1])}, {p for p in pairs if found[p[0]] == found[p[1]]}
+    assert len(alike) > 2000 and len(want & got) >= 0.98 * len(want) and len(want & got) >= 0.98 * len(got)
+
+
+def test_every_row_is_a_document(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = words(80), words(90), words(70), words(60)
+    rows = [(1, a, "k"), (1, b, "k"), (1, a, "k"), (2, c, "k"), (None, d, "k"), (None, c, "k"), (None, words(50), "k"), (3, b + " more", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    kept = pipeline.near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == 5 and a in texts and c in texts and d in texts and (b in texts) != (b + " more" in texts)
+
+
 def test_every_window_is_learnt_from(spark, monkeypatch):
     monkeypatch.setattr(lm, "WARM_TEXTS", 0)
     texts = spark.createDataFrame([("1", " ".join(f"w{i}" for i in range(80)))], "_order string, _text string")
