@@ -155,6 +155,29 @@ def test_search_is_exact(spark):
     assert {r.query_id: r.chunk_id for r in near.collect() if r.query_id != 7} == {1: 1, 9: 8}
 
 
+def test_approximate_search_shuffles_no_vectors(spark):
+    x = np.random.default_rng(3).standard_normal((400, 16)).astype(np.float32)
+    x[300:] = x[200:300]  # copies: ties are settled by id
+    x[5] = 0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>")
+    queries = vectors.filter("chunk_id % 20 = 0 or chunk_id = 5").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = search.approximate_top_k(queries, vectors, digits=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 1  # the k best of each task alone
+    rows = {(r.query_id, r.rank): (r.chunk_id, r.similarity) for r in found.collect()}
+    exact = {(r.query_id, r.rank): (r.chunk_id, r.similarity) for r in search.top_k(queries, vectors, digits=9).collect()}
+    assert sum(rows.get(k) == v for k, v in exact.items()) >= 0.9 * len(exact)
+    assert all(s == 0 for (q, _), (_, s) in rows.items() if q == 5)  # 0.5 by distances
+    old, search.CELLS = search.CELLS, 50
+    try:  # few rows at a time
+        assert {(r.query_id, r.rank): (r.chunk_id, r.similarity) for r in search.top_k(queries, vectors, digits=9).collect()} == exact
+    finally:
+        search.CELLS = old
+    # narrow buckets: far fewer pairs, none of rows that share none
+    few = search.approximate_top_k(queries, vectors, 400, bucket=0.02, tables=1)
+    assert 0 < few.count() < 21 * 200
+
+
 def test_vector_store(spark):
     store = search.VectorStore(spark, 2)
     assert store.search([1.0, 0.0]).count() == 0
