@@ -4,7 +4,8 @@ Leaves hold rank << 32 | position of the pair that starts there, inner nodes the
 least key below them, so the root is the leftmost pair of the lowest rank. A
 merge changes three leaves at most; each is carried up in logarithmic time.
 Short pieces go through one tree each, many at a time, as rows of an array; long
-ones through a tree of their own.
+ones through a tree of their own. New words are cut, merged and decoded together, as
+arrays of code points, symbols and places.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from __future__ import annotations
 import itertools
 import json
 import re
-import sys
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,16 +26,19 @@ NONE = np.int64(1 << 62)
 #: Pieces of up to so many symbols share an array of trees; bits of a place in these,
 #: and leaves of one such array.
 SHORT, PLACE, ROOM = 64, 7, 1 << 16
-#: Bytes of a worker's caches of words and of pieces, in each of two generations, and
-#: what an entry takes besides its strings. One portion of text may go beyond.
-WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 40 << 20, 20 << 20, 300
+#: Bytes of a worker's cache of words, in each of two generations, and what an entry
+#: takes besides its strings. One portion of text may go beyond.
+WORD_BYTES, ENTRY_BYTES = 48 << 20, 250
 #: Bytes of text that a worker encodes at a time.
 PORTION = 2 << 20
+#: Tokens that are turned into text at a time.
+DECODED = 1 << 18
 
 
 class Kept:
-    """A cache of (ids, text) in two generations: when the newer is full it becomes the
-    older, whose entries come back as they are asked for and are forgotten otherwise."""
+    """A cache of ids, and of texts where given, in two generations: when the newer is full
+    it becomes the older, whose entries come back as they are asked for and are forgotten
+    otherwise."""
 
     def __init__(self, most: int):
         self.most, self.held = most, 0
@@ -44,9 +46,11 @@ class Kept:
         self.texts: dict = {}
         self.older = self.ids, self.texts
 
-    def put(self, key: str | bytes | int, ids: bytes, text: bytes) -> None:
-        self.ids[key], self.texts[key] = ids, text
-        self.held += ENTRY_BYTES + len(ids) + 2 * len(text)
+    def put(self, key: str | bytes | int, ids: bytes, text: bytes = b"") -> None:
+        self.ids[key] = ids
+        if text:
+            self.texts[key] = text
+        self.held += ENTRY_BYTES + len(ids) + len(key) + 2 * len(text)
 
     def missing(self, keys: Iterable) -> list:
         """Those of a portion's distinct keys that have to be made; the others are kept."""
@@ -57,13 +61,16 @@ class Kept:
             if (ids := old.get(k)) is None:
                 out.append(k)
             else:
-                self.put(k, ids, old_texts[k])
+                self.put(k, ids, old_texts.get(k, b""))
         return out
 
 
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Code points that may be plain: the normaliser joins none of them with a neighbour.
 PLAIN = (*range(0x21, 0x7F), *range(0xA1, 0x250))
+#: Classes of plain characters after lower-casing; any other character is ODD.
+LETTER, NUMBER, OTHER, BREAK, ODD = range(5)
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,6 +80,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs: starts[0], starts[0] + 1, ... for each run, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Encoder:
     """Encodes as the vocabulary file's own library does, without begin, end or
     added special tokens; special strings inside a text get their own ids.
@@ -111,22 +123,26 @@ class Encoder:
         letters = byte_letters()
         self.byte_of = {ord(c): b for c, b in letters.items()}
         letter_of = {b: c for c, b in letters.items()}
-        self.inner = [self.vocab.get(letter_of[b]) for b in range(256)]
-        self.outer = [self.vocab.get(letter_of[b] + self.suffix) for b in range(256)]
-        self.pieces = Kept(PIECE_BYTES)
+        self.inner = np.array([self.vocab.get(letter_of[b], -1) for b in range(256)], np.int64)
+        self.outer = np.array([self.vocab.get(letter_of[b] + self.suffix, -1) for b in range(256)], np.int64)
+        # token strings side by side, each with the space that joins it to the next
+        texts = [(self.strings[i] + " ").encode("utf-8") if i in self.strings else b"" for i in range(max(self.strings) + 1)]
+        self.letters = np.frombuffer(b"".join(texts), np.uint8)
+        self.letters_at = np.cumsum([0, *map(len, texts)])
         self._plain_rules()
 
     def _plain_rules(self) -> None:
         """The characters that the library lower-cases as Python does, and how it classes
-        them: a pattern of the standard library is far faster than its own calls."""
+        them: tables of code points are far faster than its own calls."""
         low = {cp: self.library.normalizer.normalize_str(chr(cp)) for cp in PLAIN}
         plain = [cp for cp in PLAIN if low[cp] == chr(cp).lower() and ord(low[cp][0]) in low and len(low[cp]) == 1]
         parts = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
         results = sorted({low[cp] for cp in plain})
-        letters = "".join(c for c in results if parts("a" + c) == 1)
-        numbers = "".join(c for c in results if parts(c + c) == 2)
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|\n|[^{letters}{numbers}\n]+")
-        self.other = re.compile(f"^.*?(?:[^{re.escape(''.join(map(chr, plain)))}\n]" + ("|" + self.special_pattern.pattern if self.special_pattern else "") + ").*$", re.M)
+        kind = {c: LETTER if parts("a" + c) == 1 else NUMBER if parts(c + c) == 2 else OTHER for c in results}
+        self.kind, self.low = np.full(0x251, ODD, np.uint8), np.arange(0x251, dtype="<u4")
+        self.kind[ord("\n")] = BREAK
+        for cp in plain:
+            self.kind[cp], self.low[cp] = kind[low[cp]], ord(low[cp])
 
     # -- one pair, many pairs -------------------------------------------------
 
@@ -137,28 +153,40 @@ class Encoder:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def merge_many(self, pieces: list[list[int]]) -> list[list[int]]:
-        """Merged symbols of each piece; all have at most SHORT symbols."""
-        out: list[list[int]] = [[]] * len(pieces)
-        sizes = np.array([len(p) for p in pieces])
-        low = 0
+        """Merged symbols of each piece."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        ids, sizes = self.merge_flat(np.fromiter(itertools.chain.from_iterable(pieces), np.int64, int(sizes.sum())), sizes)
+        ids, ends = ids.tolist(), np.cumsum(sizes).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merge_flat(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged symbols of pieces that lie side by side, and their numbers."""
+        starts, low = np.cumsum(sizes) - sizes, 1
+        found = [(rows := np.flatnonzero(sizes == 1), symbols[starts[rows]], sizes[rows])]
         for high in (2, 4, 8, 16, 32, SHORT):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
             low = high
             step = ROOM // high  # so that an array of trees stays in the processor's cache
             for a in range(0, len(rows), step):
-                part = rows[a : a + step].tolist()
-                for i, ids in zip(part, self._merge_rows([pieces[i] for i in part], sizes[part], high)):
-                    out[i] = ids
-        for i in np.flatnonzero(sizes == 1).tolist():
-            out[i] = pieces[i]
-        return out
-
-    def _merge_rows(self, pieces: list[list[int]], sizes: np.ndarray, width: int) -> list[list[int]]:
+                part = rows[a : a + step]
+                found.append((part, *self._merge_rows(symbols, starts[part], sizes[part], high)))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            ids = self.merge_one(symbols[starts[i] : starts[i] + sizes[i]].tolist())
+            found.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
+        merged = np.zeros_like(sizes)
+        for rows, _, n in found:
+            merged[rows] = n
+        begin, out = np.cumsum(merged) - merged, np.empty(int(merged.sum()), np.int64)
+        for rows, ids, n in found:
+            out[_spread(begin[rows], n)] = ids
+        return out, merged
+
+    def _merge_rows(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """A row of symbols and a tree of `width` leaves for each piece, all in flat arrays."""
-        n, none = len(pieces), np.int32(1 << 30)
+        n, none = len(sizes), np.int32(1 << 30)
         sym = np.full((n, width + 1), -1, np.int64)
         inside = np.arange(width + 1) < sizes[:, None]
-        sym[inside] = np.fromiter(itertools.chain.from_iterable(pieces), np.int64, int(sizes.sum()))
+        sym[inside] = symbols[_spread(starts, sizes)]
         nxt = np.tile(np.arange(1, width + 2), n)
         prv = np.tile(np.arange(-1, width), n)
         tree = np.full((n, 2 * width), none, np.int32)
@@ -203,8 +231,7 @@ class Encoder:
             rows = rows[tree[up + 1] < none]
         sym = sym.reshape(n, width + 1)
         keep = sym >= 0
-        ids, ends = sym[keep].tolist(), np.cumsum(keep.sum(1)).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return sym[keep], keep.sum(1)
 
     def merge_one(self, symbols: list[int]) -> list[int]:
         """Merged symbols of one piece of any length."""
@@ -248,26 +275,6 @@ class Encoder:
 
     # -- words ----------------------------------------------------------------
 
-    def _plans(self, words: list[bytes]) -> list[list[str | int]]:
-        """The pieces of each word, special strings as ids."""
-        lines = b"\n".join(words).decode("utf-8")
-        texts = lines.split("\n")
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        odd = np.searchsorted(starts, [m.start() for m in self.other.finditer(lines)], "right") - 1
-        apart = {i: list(self._other_pieces(texts[i])) for i in odd.tolist()}
-        for i in apart:
-            texts[i] = ""
-        plans: list[list[str | int]] = [[]]
-        last = plans[0]
-        for piece in self.cut.findall("\n".join(texts).lower()):
-            if piece == "\n":
-                plans.append(last := [])
-            else:
-                last.append(piece)
-        for i, own in apart.items():
-            plans[i] = own
-        return plans
-
     def _other_pieces(self, word: str) -> Iterator[str | int]:
         parts = self.special_pattern.split(word) if self.special_pattern else [word]
         for part in parts:
@@ -278,44 +285,100 @@ class Encoder:
                     yield bytes(map(self.byte_of.__getitem__, map(ord, piece))).decode("utf-8")
 
     def _symbols(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.outer[raw[-1]]]
-        return ids if None not in ids else [i for i in ids if i is not None]
-
-    def _code(self, ids: Iterable[int]) -> tuple[bytes, bytes]:
-        raw = array("I", ids)
-        if sys.byteorder == "big":
-            raw.byteswap()
-        return raw.tobytes(), " ".join([self.strings[i] for i in ids]).encode("utf-8")
-
-    def code_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Of each word, which has no ASCII white space, the ids as unsigned 32-bit
-        integers and the decoded text. Pieces are kept from call to call."""
+        raw = np.frombuffer(piece.encode("utf-8"), np.uint8)
+        ids = self.inner[raw]
+        ids[-1:] = self.outer[raw[-1:]]
+        return ids[ids >= 0].tolist()
+
+    def _other_words(self, words: list[str]) -> list[list[int]]:
+        """Symbols of words that need the library's own normaliser and pre-tokeniser."""
+        plans = [list(self._other_pieces(w)) for w in words]
+        pieces = list(dict.fromkeys(p for p in itertools.chain.from_iterable(plans) if isinstance(p, str)))
+        ids = dict(zip(pieces, self.merge_many([self._symbols(p) for p in pieces])))
+        return [list(itertools.chain.from_iterable(ids[p] if isinstance(p, str) else [p] for p in plan)) for plan in plans]
+
+    def code_words(self, words: list[bytes]) -> list[bytes]:
+        """Of each word, which has no ASCII white space, the ids as little-endian
+        unsigned 32-bit integers."""
         if not words:
             return []
-        plans = self._plans(words)
-        todo = {p: self._symbols(p) if isinstance(p, str) else [p] for p in self.pieces.missing(set(itertools.chain.from_iterable(plans)))}
-        short = [p for p, s in todo.items() if len(s) <= SHORT]
-        for p, ids in zip(short, self.merge_many([todo[p] for p in short])):
-            self.pieces.put(p, *self._code(ids))
-        for p, s in todo.items():
-            if len(s) > SHORT:
-                self.pieces.put(p, *self._code(self.merge_one(s)))
-        ids, texts, out = self.pieces.ids, self.pieces.texts, []
-        for plan in plans:
-            if len(plan) == 1:
-                out.append((ids[plan[0]], texts[plan[0]]))
-            else:
-                out.append((b"".join([ids[p] for p in plan]), b" ".join([texts[p] for p in plan])))
+        text = b"\n".join([*words, b""]).decode("utf-8")
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        near = np.minimum(points, len(self.kind) - 1)
+        kind = self.kind[near]
+        breaks = np.flatnonzero(kind == BREAK)
+        odd = [np.searchsorted(breaks, np.flatnonzero(kind == ODD))]
+        if self.special_pattern:
+            odd.append(np.searchsorted(breaks, [m.start() for m in self.special_pattern.finditer(text)]))
+        odd = np.unique(np.concatenate(odd).astype(np.int64))
+        low = self.low[near]
+        # a piece begins where the class changes, and with every number
+        first = np.ones(len(kind), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        self._contract(low, kind, first)
+        # odd words have no pieces here
+        of_word = np.cumsum(kind == BREAK) - (kind == BREAK)
+        inside = kind != BREAK
+        if len(odd):
+            mark = np.zeros(len(words), bool)
+            mark[odd] = True
+            inside &= ~mark[of_word]
+        begin = np.flatnonzero(first & inside)
+        low, size = low[inside], np.cumsum(first[inside])
+        raw = low.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+        # bytes of each piece: its characters, and one more for each that takes two
+        lengths = np.bincount(size - 1, 1 + (low >= 0x80), len(begin)).astype(np.int64)
+        ends = np.cumsum(lengths)
+        pieces, cuts = {}, ends.tolist()
+        place = np.fromiter((pieces.setdefault(raw[a:b], len(pieces)) for a, b in zip([0, *cuts], cuts)), np.int64, len(cuts))
+        distinct = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        symbols, last = self.inner[distinct], np.cumsum(sizes) - 1
+        symbols[last] = self.outer[distinct[last]]
+        if len(symbols) and symbols.min() < 0:
+            known = symbols >= 0
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), known, len(sizes)).astype(np.int64)
+            symbols = symbols[known]
+        merged, n = self.merge_flat(symbols, sizes)
+        ids = merged[_spread((np.cumsum(n) - n)[place], n[place])]
+        per_word = np.bincount(of_word[begin], n[place], len(words)).astype(np.int64)
+        flat, at = ids.astype("<u4").tobytes(), (4 * np.cumsum(per_word)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *at], at)]
+        for i, own in zip(odd.tolist(), self._other_words([words[i].decode("utf-8") for i in odd.tolist()])):
+            out[i] = np.array(own, "<u4").tobytes()
         return out
 
+    def _contract(self, low: np.ndarray, kind: np.ndarray, first: np.ndarray) -> None:
+        """Sets the pieces of contractions: their apostrophe begins a piece."""
+        at = np.flatnonzero((low == ord("'")) & first)
+        for form in CONTRACTIONS:
+            own = at[at + len(form) < len(low)]  # a break is last
+            for k, c in enumerate(form):
+                own = own[low[own + k] == ord(c)]
+            first[own + 1] = False
+            first[own + len(form)] = True
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        return [np.frombuffer(ids, "<u4").tolist() for ids, _ in self.code_words(words)]
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.code_words(words)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: token strings, joined by one space."""
         return " ".join(self.strings[i] for i in ids)
 
+    def decode_many(self, coded: list[bytes]) -> Iterator[bytes]:
+        """decode() in UTF-8 of each run of ids, all together: the token strings' letters
+        are gathered, DECODED tokens at a time."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        sizes = self.letters_at[1:] - self.letters_at[:-1]
+        parts = []
+        for i in range(0, len(ids), DECODED):
+            some = ids[i : i + DECODED]
+            parts.append(self.letters[_spread(self.letters_at[some], sizes[some])].tobytes())
+        text = b"".join(parts)
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum([0, *(len(c) // 4 for c in coded)])].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield text[a : b - 1] if b > a else b""  # without the space behind the last
+
 
 _ENCODERS: dict[str, Encoder] = {}
 _WORDS: dict[str, Kept] = {}
@@ -334,17 +397,11 @@ def encode_texts(texts: list[bytes], path: str) -> Iterator[tuple[bytes, bytes]]
     together first."""
     enc, kept = encoder(path), _WORDS.setdefault(path, Kept(WORD_BYTES))
     split = [t.split() for t in texts]
-    distinct = set().union(*split)
-    new = kept.missing(distinct)
-    for word, (ids, text) in zip(new, enc.code_words(new)):
-        kept.put(word, ids, text)
-    ids_of, text_of = kept.ids.__getitem__, kept.texts.__getitem__
-    # words of other white space alone have no ids, and no place in the decoded text
-    bare = {w for w in distinct if not ids_of(w)}
-    for words in split:
-        if bare:
-            words = [w for w in words if w not in bare]
-        yield b"".join(map(ids_of, words)), b" ".join(map(text_of, words))
+    new = kept.missing(set().union(*split))
+    for word, ids in zip(new, enc.code_words(new)):
+        kept.put(word, ids)
+    coded = [b"".join(map(kept.ids.__getitem__, words)) for words in split]
+    return zip(coded, enc.decode_many(coded))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

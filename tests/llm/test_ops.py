@@ -518,6 +518,27 @@ def test_bpe(docs, rows, empty, odd):
     assert bpe.encode(empty, VOCABULARY).count() == 0 and bpe.encode(odd, VOCABULARY).count() == odd.count()
 
 
+def test_words_are_coded_together(monkeypatch):
+    enc = bpe.encoder(VOCABULARY)
+    rng = random.Random(8)
+    words = ["it's", "'s's", "''s", "'sa", "we'LL", "'lL'", "x'", "o'r'e", "'re've'm'd't", "a1b22", "...", "\u00c4\u00dfx", "\u00b2\u00bd", "e\u0301", "\u4e2d\u6587", "\u0130", "<|endoftext|>", "\u00a0", "\u2003", "\u212a'S"]
+    words += ["".join(rng.choice("aZ'sStl1.\u00e9\u00c9\u017f\u01c5\u0391") for _ in range(rng.randrange(1, 12))) for _ in range(2000)] + ["q" * 300, *enc.special]
+    raw = [w.encode() for w in words]
+    for part in (raw, raw[14:15], [], raw[:1]):
+        coded = enc.code_words(part)
+        for w, ids, text in zip(part, coded, enc.decode_many(coded), strict=True):
+            want = brute.LIBRARY.encode(w.decode(), add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and text.decode() == brute.LIBRARY.decode(want, skip_special_tokens=False), w
+    monkeypatch.setattr(bpe, "DECODED", 3)
+    coded = enc.code_words(raw[:40])
+    assert [t.decode() for t in enc.decode_many([b"", *coded, b""])] == ["", *(enc.decode(np.frombuffer(c, "<u4").tolist()) for c in coded), ""]
+    # no work in Python for each word's pieces: only odd words ask the library
+    seen = []
+    monkeypatch.setattr(enc, "_symbols", lambda p: seen.append(p) or [])
+    enc.code_words([b"plain", b"words,", "caf\u00e9".encode()])
+    assert not seen
+
+
 def test_trees_agree():
     enc = bpe.encoder(VOCABULARY)
     rng = random.Random(4)
