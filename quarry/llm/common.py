@@ -3,6 +3,7 @@ numpy buffers, vectorised word hashing and connected components."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +38,28 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of what nothing refers to any more. It does so
+    when the driver collects garbage, which may not happen for a whole job."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Numbers of 64 bits in the filter of maybe_among() at the utmost.
+FILTER_WORDS = 1 << 20
+
+
+def maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose number `key` is among those of `wanted`, and few others, without a
+    shuffle of the rows: bits of a hash are broadcast, 16 MB of them at the utmost."""
+    spot = lambda: F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    bit = F.expr("shiftleft(1L, cast(_spot & 63 AS int))")
+    bits = wanted.select(spot().alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_spot", spot()).withColumn("_at", F.shiftright("_spot", 6))
+    hit = (F.col("_at") == F.col("_w")) & (F.col("_bits").bitwiseAND(bit) != 0)
+    return marked.join(F.broadcast(bits), hit, "left_semi").drop("_spot", "_at")
+
+
 def whole_text(column: str = "text") -> F.Column:
     """The text; null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, slices, whole_text
+from .common import components, cut, maybe_among, mix, release, slices, whole_text
 
 #: Members up to which all pairs of a bucket are verified in one go.
 BUCKET = 64
@@ -461,15 +461,21 @@ def alike_links(nodes: DataFrame, texts: DataFrame, bits: int, tau: int, words:
     """
     mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
     sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
+    spark = nodes.sparkSession
     shared = shared_buckets(nodes, wide_plan(nodes, bits, math.ceil(mean)))
+    release(spark)
     links = cut(small_links(shared, nodes, bits, tau))
+    release(spark)
     done = cut(confirm(links, texts, words, similarity, sure).unionByName(few_links(nodes, similarity)))
     hot = shared.filter(F.col("size") > BUCKET)
     for turn in (0, 1, None) if hot.take(1) else ():
+        release(spark)
         more = cut(block_links(hot, nodes, components(done), sure, tau, turn).distinct())
         if not more.take(1):
             break
+        release(spark)
         done = cut(done.unionByName(confirm(more, texts, words, similarity, sure)))
+    release(spark)
     return done
 
 
@@ -518,14 +524,14 @@ def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
 def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, sure: int) -> DataFrame:
     """The links of at most `sure` bits, and of the others those between different
     components of these whose texts share `similarity` of their shingles (Jaccard).
-    `texts`: (id, text)."""
+    `texts`: (id, text); only those of such links are shuffled."""
     firm = links.filter(F.col("apart") <= sure).select("a", "b")
     heads = cut(components(firm))
     loose = links.filter(F.col("apart") > sure).select("a", "b")
     for side in ("a", "b"):
         loose = loose.join(heads.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
     loose = cut(loose.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    wanted = loose.select(F.col("a").alias("id")).union(loose.select(F.col("b").alias("id"))).distinct()
+    wanted = cut(loose.select(F.col("a").alias("id")).union(loose.select(F.col("b").alias("id"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -533,7 +539,7 @@ def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, s
                 found = [np.unique(shingle_hashes(t, words)).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    rows = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = maybe_among(texts, wanted, "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     shingles = rows.select("id", "text").mapInArrow(sets, "id long, shingles binary")
     both = loose.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 

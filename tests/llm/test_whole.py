@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from quarry.llm import gru, lm, simhash
+from quarry.llm import common, gru, lm, simhash
 
 
 def near(spark, texts):
@@ -98,3 +100,18 @@ def test_outputs_grow_with_the_corpus(spark):
     counts = spark.range(400_000).selectExpr("cast(concat('w', id) as binary) word", "1 + 10000000 div (id + 1) n")
     assert lm.vocabulary(counts, 1).lay.n_words == 400_000 // 64
     assert len({lm.bucket(w + b"n") for w in (b"a", b"e", b"i", b"o")}) > 1
+
+
+def test_only_texts_of_open_links_are_shuffled(spark):
+    texts = spark.range(2000).select("id", F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text")).unionByName(spark.createDataFrame([(None, "x")], "id long, text string"))
+    wanted = spark.range(5, 2000, 100)
+    found = common.maybe_among(texts, wanted, "id")
+    ids = {r.id for r in found.collect()}
+    assert {r.id for r in wanted.collect()} <= ids and len(ids) < 40 and found.columns == ["id", "text"]
+    assert common.maybe_among(texts, wanted.limit(0), "id").count() == 0
+    links = spark.createDataFrame([(1, 2, 70), (3, 4, 70), (5, 6, 0)], "a long, b long, apart int")
+    done = simhash.confirm(links, texts, 1, 0.3, 60)
+    assert sorted(map(tuple, done.collect())) == [(1, 2), (3, 4), (5, 6)]
+    # before the exchange of texts come those of links that are still open
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 4 and "_bits" in plan
