@@ -26,10 +26,10 @@ from .common import components, cut, maybe_among, mix, release, slices, whole_te
 BUCKET = 64
 #: Distinct shingles of a text up to which its near copies are found on the shingles.
 FEW = 50
-#: 64-bit lanes of a fingerprint that go into the buckets.
-LANES = 4
 #: Members of a block, where larger buckets are compared block by block.
 BLOCK = 1024
+#: Pairs whose fingerprints are compared at a time.
+COMPARED = 1 << 17
 #: Fingerprints of which a task sums up one matrix of bits.
 ROWS_OF_A_MATRIX = 20_000
 #: Where not all pairs are guaranteed: bits of a part at least, and the share of pairs at the
@@ -249,23 +249,36 @@ def make_plan(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...])
 # -- candidates and links --------------------------------------------------------------
 
 
-def buckets(prints: DataFrame, plan: Plan) -> DataFrame:
-    """(part, key, node, s0, ...): two rows within a part's threshold t share the
-    bucket that leaves out the bits in which they differ, t of them. The sketch is
-    the first LANES times 64 bits, so that rows stay short."""
-    names = ["part", "key", "node", *(f"s{k}" for k in range(lanes(len({b for p in plan.parts for b in p}))))]
+def bucket_bits(plan: Plan) -> list[tuple[list[int], tuple[int, ...]]]:
+    """Of each kind of bucket the part, and the places in it that are left out."""
+    return [(part, drop) for part, t in zip(plan.parts, plan.thresholds) if t >= 0 for drop in itertools.combinations(range(len(part)), t)]
+
+
+def bucket_masks(plan: Plan) -> np.ndarray:
+    """Of each kind of bucket the bits that its members agree in, a row of 64-bit lanes."""
+    kinds, bits = bucket_bits(plan), len({b for p in plan.parts for b in p})
+    out = np.zeros((len(kinds), bits), np.uint8)
+    for k, (part, drop) in enumerate(kinds):
+        out[k, [b for i, b in enumerate(part) if i not in drop]] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def buckets(prints: DataFrame, plan: Plan, whole: bool = True) -> DataFrame:
+    """(part, key, node, and if `whole` the fingerprint's 64-bit lanes s0, ...): two rows
+    within a part's threshold t share the bucket that leaves out the bits in which they
+    differ, t of them."""
+    kinds, bits = bucket_bits(plan), len({b for p in plan.parts for b in p})
+    names = ["part", "key", "node", *(f"s{k}" for k in range(bits // 64 if whole else 0))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 rows = batch.slice(at, 8192)
-                whole, tag = _matrix(rows.column(1)), 0
-                sketch = [pa.array(whole[:, 8 * k : 8 * k + 8].copy().view(np.int64).ravel()) for k in range(len(names) - 3)]
-                x = np.unpackbits(whole, axis=1)
-                for part, t in zip(plan.parts, plan.thresholds):
-                    for drop in itertools.combinations(range(len(part)), t) if t >= 0 else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *sketch], names)
-                        tag += 1
+                prints = _matrix(rows.column(1))
+                own = [pa.array(prints[:, 8 * k : 8 * k + 8].copy().view(np.int64).ravel()) for k in range(len(names) - 3)]
+                x = np.unpackbits(prints, axis=1)
+                for tag, (part, drop) in enumerate(kinds):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tag, np.int32)), pa.array(_part_keys(x, part, drop)), rows.column(0), *own], names)
 
     return prints.select("node", "fingerprint").mapInArrow(run, "part int, " + ", ".join(f"{c} long" for c in names[1:]))
 
@@ -274,8 +287,9 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1)
 
 
-def forest(n: int, a: Iterable[int], b: Iterable[int]) -> Iterator[tuple[int, int]]:
-    """Of the given links among n nodes those of a spanning forest."""
+def forest(n: int, a: Iterable[int], b: Iterable[int], tree: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Of the given links among n nodes those of a spanning forest; at its end `tree` has
+    the root of each node."""
     up = list(range(n))
 
     def root(i: int) -> int:
@@ -289,35 +303,56 @@ def forest(n: int, a: Iterable[int], b: Iterable[int]) -> Iterator[tuple[int, in
         if r != s:
             up[r] = s
             yield i, j
+    if tree is not None:
+        tree[:] = [root(i) for i in range(n)]
+
+
+def _earlier(x: np.ndarray, y: np.ndarray, tag: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints, which share a bucket of kind `tag`, share one of a lesser
+    kind as well, where the pair is met first."""
+    out = np.zeros(len(tag), bool)
+    for at in range(0, len(tag), COMPARED // 16):
+        part, differ = tag[at : at + COMPARED // 16], x[at : at + COMPARED // 16] ^ y[at : at + COMPARED // 16]
+        for k in range(int(part.max(initial=0))):
+            out[at : at + len(part)] |= (k < part) & ~(differ & masks[k]).any(1)
+    return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], tau: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of near sketches within buckets of at most BUCKET members, all buckets of
-    a size together. Where the sketch is the whole fingerprint these are links, and
-    of a crowded bucket only a spanning forest is kept."""
+def _verify(batches: Iterator[pa.RecordBatch], sure: int, tau: int, masks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of near fingerprints within buckets of at most BUCKET members, with their
+    distance, all buckets of a size together. Pairs up to `sure` bits are links: of a crowded
+    bucket a spanning forest of these is kept, and of the others those between its
+    trees. With `masks` a pair is left to the first bucket that it shares."""
     for batch in batches:
-        nodes = batch.column(0)
+        nodes, part = batch.column(1), batch.column(0).to_numpy()
         sizes = nodes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         node = nodes.flatten().to_numpy(zero_copy_only=False)
-        x = np.stack([batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)], 1).view(np.uint64)
+        x = np.stack([batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, batch.num_columns)], 1).view(np.uint64)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
         for s in np.unique(sizes).tolist():
             i, j = np.triu_indices(s, 1)
-            own = first[sizes == s]
-            step = max(1, (1 << 20) // max(1, len(i)))
-            for k in range(0, len(own), step):
-                at = own[k : k + step]
+            every = np.flatnonzero(sizes == s)
+            step = max(1, COMPARED // max(1, len(i)))
+            for k in range(0, len(every), step):
+                at = first[every[k : k + step]]
                 p, q = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                near = _distances(x[p], x[q]) <= tau
-                p, q, own_of = p[near], q[near], np.repeat(np.arange(len(at)), len(i))[near]
-                crowded = (np.bincount(own_of, minlength=len(at)) > (3 * s if whole else s * s))[own_of]
+                d = _distances(x[p], x[q])
+                near = np.flatnonzero(d <= tau)
+                p, q, d, own = p[near], q[near], d[near], near // max(1, len(i))
+                if masks is not None:
+                    new = ~_earlier(x[p], x[q], part[every[k : k + step]][own], masks)
+                    p, q, d, own = p[new], q[new], d[new], own[new]
+                crowded = (np.bincount(own[d <= sure], minlength=len(at)) > 3 * s)[own]
                 if crowded.any():
-                    kept = np.array(list(forest(len(x), p[crowded].tolist(), q[crowded].tolist())), np.int64)
-                    p, q = np.concatenate([p[~crowded], kept[:, 0]]), np.concatenate([q[~crowded], kept[:, 1]])
-                out.append((node[p], node[q]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in (0, 1)], ["a", "b"])
+                    firm = crowded & (d <= sure)
+                    tree, keep = np.arange(len(x)), ~crowded
+                    kept = set(forest(len(x), p[firm].tolist(), q[firm].tolist(), tree))
+                    keep[firm] = [r in kept for r in zip(p[firm].tolist(), q[firm].tolist())]
+                    keep |= crowded & (d > sure) & (tree[p] != tree[q])
+                    p, q, d = p[keep], q[keep], d[keep]
+                if len(p):
+                    low, high = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(d.astype(np.int32))], ["a", "b", "apart"])
 
 
 def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,24 +366,31 @@ def _flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(rows.column(0).to_numpy(), 65))], ["z", "node"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int, turn: int | None) -> Iterator[pa.RecordBatch]:
-    """Links within and between two blocks, with their distance, between nodes of
-    different trees, as given: a forest of those of `sure` bits or fewer, then of the
+def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int, turn: int | None, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Links within and between two blocks of a bucket, with their distance, between nodes
+    of different trees, as given: a forest of those of `sure` bits or fewer, then of the
     others a forest as well, by the nearest partner of a tree (turn 0) or one by
-    chance; with no turn all of them. A row at a time, so memory is one block."""
+    chance; with no turn all of them. A row at a time, so memory is one block. With
+    `masks` a pair is left to the first bucket that it shares."""
+    names = ["a", "b", "apart", "part", "key"]
     for batch in batches:
-        for left, lx, lt, right, rx, rt in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for at in range(batch.num_rows):
+            part, key, left, lx, lt, right, rx, rt = (c[0].as_py() for c in batch.slice(at, 1).columns)
             node, n = np.array(left + right), len(left)
             x = np.frombuffer(b"".join(lx + rx), np.uint64).reshape(len(node), -1)
             tree = np.unique(np.array(lt + rt), return_inverse=True)[1]
-            a, b, apart = ([np.zeros(0, np.int64)] for _ in range(3))
+            held, many = [], 0
+            rows = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)  # noqa: E731, B023
             for low, high in ((-1, sure), (sure, tau)):
                 for i in range(n):
                     start = n if right else i + 1
                     others = np.flatnonzero(tree[start:] != tree[i]) + start
                     d = _distances(x[i], x[others])
                     near = (d > low) & (d <= high)
-                    others, d = others[near], d[near].astype(np.int64)
+                    others, d = others[near], d[near].astype(np.int32)
+                    if masks is not None and part and len(others):
+                        new = ~_earlier(np.broadcast_to(x[i], (len(others), x.shape[1])), x[others], np.full(len(others), part), masks)
+                        others, d = others[new], d[new]
                     if not len(others):
                         continue
                     if low < 0 or turn is not None:
@@ -356,16 +398,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], sure: int, tau: int, turn: int |
                         first = order[np.unique(tree[others[order]], return_index=True)[1]]
                         others, d = others[first], d[first]
                         tree[np.isin(tree, tree[others])] = tree[i]
-                    a.append(np.full(len(others), i))
-                    b.append(others)
-                    apart.append(d)
-            p, q, d = (np.concatenate(c).astype(np.int64) for c in (a, b, apart))
-            for at in range(0, len(p), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(node[p[at : at + 50_000]], pa.int64()), pa.array(node[q[at : at + 50_000]], pa.int64()), pa.array(d[at : at + 50_000].astype(np.int32))], ["a", "b", "apart"])
+                    held.append((np.full(len(others), node[i]), node[others], d, np.full(len(others), part, np.int32), np.full(len(others), key)))
+                    if (many := many + len(others)) >= 50_000:
+                        yield rows()
+                        held.clear()
+                        many = 0
+            if held:
+                yield rows()
 
 
-def _dealt(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(left lists, right lists): nodes and values of all pairs of blocks of the buckets that
+def _dealt(rows: DataFrame, keys: list[str], values: list[str], named: tuple[str, ...] = ()) -> DataFrame:
+    """(the keys `named`, left lists, right lists): nodes and values of all pairs of blocks of the buckets that
     `keys` name, the right ones empty where a block meets itself. `rows`: keys, node, values, size."""
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", keys[0]), F.col("n_blocks")).cast("int"))
@@ -373,58 +416,38 @@ def _dealt(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     pairs = pairs.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", *values)
     lists = [F.collect_list(F.when(F.col("second") if side else ~F.col("second"), F.col(v))).alias(f"l{side}{k}") for side in (0, 1) for k, v in enumerate(["node", *values])]
     grouped = pairs.groupBy(*keys, "i", "j").agg(*lists)
-    return grouped.filter((F.col("i") == F.col("j")) | (F.size("l10") > 0)).select(*(f"l{side}{k}" for side in (0, 1) for k in range(len(values) + 1)))
-
-
-def lanes(bits: int) -> int:
-    return min(LANES, bits // 64)
+    return grouped.filter((F.col("i") == F.col("j")) | (F.size("l10") > 0)).select(*named, *(f"l{side}{k}" for side in (0, 1) for k in range(len(values) + 1)))
 
 
-def sketch_distance(bits: int, tau: int) -> int:
-    """Bits in which the sketches of two fingerprints may differ that are `tau` bits
-    apart: three and a half standard deviations more than are to be expected."""
-    if bits <= 64 * LANES:
-        return tau
-    p, n = tau / bits, 64 * LANES
-    return math.ceil(n * p + 3.5 * math.sqrt(n * p * (1 - p)))
+def bucket_sizes(prints: DataFrame, plan: Plan) -> DataFrame:
+    """(part, key, size) of the buckets with several members."""
+    return cut(buckets(prints, plan, False).groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1"))
 
 
-def _exact(pairs: DataFrame, prints: DataFrame, tau: int) -> DataFrame:
-    """(a, b, apart): pairs whose fingerprints differ in tau bits or fewer."""
-    apart = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = apart.join(prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (_matrix(batch.column(c)).view(np.uint64) for c in (2, 3))
-            d = _distances(x, y).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "apart"]).filter(pa.array(d <= tau))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, apart int")
+def shared_buckets(prints: DataFrame, plan: Plan, sizes: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """Rows of buckets() whose bucket is among those of `sizes`, all that have several
+    members if not given, with its size."""
+    return buckets(prints, plan, whole).join(bucket_sizes(prints, plan) if sizes is None else sizes, ["part", "key"])
 
 
-def shared_buckets(prints: DataFrame, plan: Plan) -> DataFrame:
-    """Rows of buckets() whose bucket has several members, with its size."""
-    rows = buckets(prints, plan)
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    return cut(rows.join(sizes, ["part", "key"]))
+def small_links(shared: DataFrame, prints: DataFrame, bits: int, tau: int, sure: int | None = None, masks: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b, apart) of the buckets of up to BUCKET members; of those up to `sure` bits
+    (all, if not given) as many as have the same components."""
+    lanes = [f"s{k}" for k in range(bits // 64)]
+    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", *lanes)).alias("m"))
+    return small.select("part", "m.node", *(f"m.{c}" for c in lanes)).mapInArrow(lambda it: _verify(it, tau if sure is None else sure, tau, masks), "a long, b long, apart int")
 
 
-def small_links(shared: DataFrame, prints: DataFrame, bits: int, tau: int) -> DataFrame:
-    """Links (a, b, apart) of the buckets of up to BUCKET members."""
-    whole, near, sketch = bits <= 64 * LANES, sketch_distance(bits, tau), [f"s{k}" for k in range(lanes(bits))]
-    small = shared.filter(F.col("size") <= BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("node", *sketch)).alias("m"))
-    links = small.select("m.node", *(f"m.{c}" for c in sketch)).mapInArrow(lambda it: _verify(it, near, whole), "a long, b long")
-    return links.withColumn("apart", F.lit(0)) if whole else _exact(links, prints, tau)
-
-
-def block_links(hot: DataFrame, prints: DataFrame, trees: DataFrame, sure: int, tau: int, turn: int | None) -> DataFrame:
-    """Links (a, b, apart) between different trees (node, component) in the buckets `hot`,
-    which are compared block by block; buckets of one tree are left out."""
-    rows = hot.select("part", "key", "size", "node").join(trees, "node", "left").withColumn("tree", F.coalesce("component", "node"))
+def block_links(hot: DataFrame, prints: DataFrame, trees: DataFrame, sure: int, tau: int, turn: int | None, masks: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b, apart, part, key) between different trees (node, component) in the buckets
+    `hot`, which are compared block by block; buckets of one tree are left out. Trees and
+    fingerprints come to a node once, whatever the number of its buckets."""
+    nodes = hot.groupBy("node").agg(F.collect_list(F.struct("part", "key", "size")).alias("at"))
+    nodes = cut(nodes.join(trees, "node", "left").join(prints.select("node", "fingerprint"), "node").select("node", "fingerprint", F.coalesce("component", "node").alias("tree"), "at"))
+    rows = nodes.select("node", "fingerprint", "tree", F.inline("at"))
     mixed = rows.groupBy("part", "key").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).filter("lo <> hi").select("part", "key")
-    rows = rows.join(mixed, ["part", "key"]).join(prints.select("node", "fingerprint"), "node")
-    return _dealt(rows, ["part", "key"], ["fingerprint", "tree"]).mapInArrow(lambda it: _blocks(it, sure, tau, turn), "a long, b long, apart int")
+    dealt = _dealt(rows.join(mixed, ["part", "key"]), ["part", "key"], ["fingerprint", "tree"], ("part", "key"))
+    return dealt.mapInArrow(lambda it: _blocks(it, sure, tau, turn, masks), "a long, b long, apart int, part int, key long")
 
 
 def near_links(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...] | None = None) -> DataFrame:
@@ -436,7 +459,7 @@ def near_links(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...]
     one, and at most 65 share any, so this is linear and has no hot key. Beyond,
     by pairs of blocks, each compared in one task, which gives a forest of the links.
     """
-    shared = shared_buckets(prints, make_plan(prints, bits, tau, choices or tuple(range(2, tau + 3))))
+    shared = cut(shared_buckets(prints, make_plan(prints, bits, tau, choices or tuple(range(2, tau + 3)))))
     links, hot = small_links(shared, prints, bits, tau), shared.filter(F.col("size") > BUCKET)
     if not hot.take(1):
         return links
@@ -446,7 +469,7 @@ def near_links(prints: DataFrame, bits: int, tau: int, choices: tuple[int, ...]
         shared_by = hot.select("node", F.col("s0").alias("sketch")).distinct().mapInArrow(_flips, "z long, node long").groupBy("z").agg(F.collect_list("node").alias("n")).filter(F.size("n") > 1)
         return links.unionByName(shared_by.select(F.array_min("n").alias("a"), F.explode("n").alias("b"), F.lit(0).alias("apart")).filter("a <> b"))
     alone = prints.select("node", F.col("node").alias("component"))
-    return links.unionByName(block_links(hot, prints, alone, tau, tau, 0))
+    return links.unionByName(block_links(hot, prints, alone, tau, tau, 0).select("a", "b", "apart"))
 
 
 def alike_links(nodes: DataFrame, texts: DataFrame, bits: int, tau: int, words: int, similarity: float) -> DataFrame:
@@ -462,19 +485,25 @@ def alike_links(nodes: DataFrame, texts: DataFrame, bits: int, tau: int, words:
     mean = bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
     sure = int(mean - 2 * math.sqrt(mean * (1 - mean / bits)))
     spark = nodes.sparkSession
-    shared = shared_buckets(nodes, wide_plan(nodes, bits, math.ceil(mean)))
+    plan = wide_plan(nodes, bits, math.ceil(mean))
+    sizes, masks = bucket_sizes(nodes, plan), bucket_masks(plan)
     release(spark)
-    links = cut(small_links(shared, nodes, bits, tau))
+    links = cut(small_links(shared_buckets(nodes, plan, sizes.filter(F.col("size") <= BUCKET)), nodes, bits, tau, sure, masks))
     release(spark)
     done = cut(confirm(links, texts, words, similarity, sure).unionByName(few_links(nodes, similarity)))
-    hot = shared.filter(F.col("size") > BUCKET)
-    for turn in (0, 1, None) if hot.take(1) else ():
+    hot = sizes.filter(F.col("size") > BUCKET)
+    if not hot.take(1):
+        return done
+    hot = cut(shared_buckets(nodes, plan, hot, False))
+    for turn in (0, 1, None):
         release(spark)
-        more = cut(block_links(hot, nodes, components(done), sure, tau, turn).distinct())
+        more = cut(block_links(hot, nodes, components(done), sure, tau, turn, masks))
         if not more.take(1):
             break
+        if turn is not None:  # trees only grow, so a bucket without candidates has none later on
+            hot = cut(hot.join(more.select("part", "key").distinct(), ["part", "key"], "left_semi"))
         release(spark)
-        done = cut(done.unionByName(confirm(more, texts, words, similarity, sure)))
+        done = cut(done.unionByName(confirm(more.select("a", "b", "apart").distinct(), texts, words, similarity, sure)))
     release(spark)
     return done
 
@@ -546,8 +575,8 @@ def confirm(links: DataFrame, texts: DataFrame, words: int, similarity: float, s
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):  # one at a time: a batch of them is large
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(common >= similarity * (len(u) + len(v) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -115,3 +116,35 @@ def test_only_texts_of_open_links_are_shuffled(spark):
     # before the exchange of texts come those of links that are still open
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") >= 4 and "_bits" in plan
+
+
+def test_a_large_group_has_few_links_and_each_pair_once(spark):
+    """Of 60 near copies in one bucket and in many, links within 61 bits are as many as a forest needs,
+    and a pair that shares several buckets is met in one."""
+    rng = np.random.default_rng(7)
+    base = rng.random(512) < 0.5
+    prints = [np.packbits(base ^ (rng.random(512) < 0.02)).tobytes() for _ in range(60)]
+    nodes = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, fingerprint binary")
+    plan = simhash.Plan([list(range(13 * k, 13 * k + 13)) for k in range(38)] + [list(range(494, 512))], [0] * 39)
+    masks = simhash.bucket_masks(plan)
+    links = simhash.small_links(simhash.shared_buckets(nodes, plan), nodes, 512, 94, 61, masks).collect()
+    x = np.frombuffer(b"".join(prints), np.uint64).reshape(60, 8)
+    assert all(r.apart == np.bitwise_count(x[r.a] ^ x[r.b]).sum() for r in links)
+    every = [(i, j) for i in range(60) for j in range(i)]
+    shares = [((x[i] ^ x[j]) & masks == 0).all(1).sum() for i, j in every]
+    assert min(shares) >= 1 and np.mean(shares) > 10
+    assert len(links) == len({frozenset((r.a, r.b)) for r in links}) <= 800 < len(every)
+    assert common.components(spark.createDataFrame(links)).select("component").distinct().count() == 1
+
+
+def test_trees_come_to_a_node_once(spark, monkeypatch):
+    """Not to each of the many buckets that a near copy shares with the rest of its group."""
+    rows = [(p, 7, 80, n) for p in range(30) for n in range(80)]
+    hot = spark.createDataFrame(rows, "part int, key long, size long, node long")
+    rng = np.random.default_rng(11)
+    nodes = spark.createDataFrame([(n, bytearray(rng.bytes(64))) for n in range(80)], "node long, fingerprint binary")
+    alone = nodes.select("node", F.col("node").alias("component"))
+    sizes = []
+    monkeypatch.setattr(simhash, "cut", lambda df: sizes.append(df.count()) or common.cut(df))
+    assert simhash.block_links(hot, nodes, alone, 61, 94, None).count() == 0
+    assert sizes == [80]
