@@ -19,6 +19,9 @@ CLASSES = 40
 BUCKETS = 32
 #: Rows of logits at a time, which stay in the processor's cache.
 ROWS = 2048
+#: Times the width that a window has at the utmost when texts are scored and few lanes are left.
+#: In learning a window is a step, and fewer steps were measured to learn less.
+LONGER = 32
 
 
 @dataclass
@@ -97,21 +100,23 @@ class Network:
         """States after each input of the window (steps, lanes, HIDDEN). Within, a row is a
         feature of all lanes, so that every operation is one run over memory."""
         p, d = self.p, HIDDEN
-        given = (p["input"][x] + p["gate"]).transpose(0, 2, 1)
         out, tape = np.empty((*x.shape, d), p["state"].dtype), []
         state, h = np.ascontiguousarray(p["state"].T), np.ascontiguousarray(h.T)
         for t in range(len(x)):
             if start[t].any():
                 h = np.where(start[t], 0, h).astype(h.dtype)
+            given = p["input"][x[t]]
+            given += p["gate"]
+            given = given.T
             s = state @ h
-            zr = s[: 2 * d] + given[t, : 2 * d]
+            zr = s[: 2 * d] + given[: 2 * d]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
             z, r = zr[:d], zr[d:]
             c = r * s[2 * d :]
-            c += given[t, 2 * d :]
+            c += given[2 * d :]
             np.tanh(c, out=c)
             if keep:
                 tape.append((h, z, r, c, s[2 * d :]))
@@ -137,6 +142,7 @@ class Network:
         dx = np.zeros_like(x) if learn else None
         grads: dict[str, np.ndarray] = {}
         several = self.several[c]  # whose class has several words
+        places = np.arange(max(ROWS, len(y)))
         blocks = [(i, min(i + ROWS, len(y)), 0, len(p["class_bias"])) for i in range(0, len(y), ROWS)]
         for name, target, rows, own in (("class", c, slice(None), blocks), ("word", y, several, self._segments(c))):
             w = np.concatenate([p[name].T, p[name + "_bias"][:, None]], 1)
@@ -146,9 +152,12 @@ class Network:
                 w[:, HIDDEN] -= top
             ones, sums, total = np.ones(len(w), w.dtype), np.zeros_like(w), np.ones(len(y), w.dtype)
             most = np.zeros(len(y), w.dtype)
+            named = np.empty(len(y), w.dtype)  # the targets' logits; in learning their weights are gathered anyway
             for i, j, a, b in own:
                 part, given = w[a:b], x[i:j]
                 e = given @ part.T
+                if not learn:
+                    named[i:j] = e[places[: j - i], target[i:j] - a]
                 if not safe:
                     most[i:j] = e.max(1)
                     e -= most[i:j, None]
@@ -160,15 +169,16 @@ class Network:
                     back = e @ part
                     back *= share
                     dx[i:j] += back
-            given, target = x[rows], target[rows]
-            chosen = w[target]
-            logp[rows] += np.einsum("ij,ij->i", given, chosen) - most[rows] - np.log(total[rows])
             if learn:
+                given, target = x[rows], target[rows]
+                chosen = w[target]
+                named[rows] = np.einsum("ij,ij->i", given, chosen)
                 dx[rows] -= chosen
                 if len(target):
                     new = np.flatnonzero(np.diff(target, prepend=-1))
                     sums[target[new]] -= np.add.reduceat(given, new, 0)
                 grads[name], grads[name + "_bias"] = np.ascontiguousarray(sums[:, :HIDDEN].T), sums[:, HIDDEN]
+            logp[rows] += named[rows] - most[rows] - np.log(total[rows])
         back_to = np.empty_like(order)
         back_to[order] = np.arange(len(order))
         return logp[back_to], dx[back_to, :HIDDEN] if learn else None, grads
@@ -179,9 +189,10 @@ class Network:
         edges = self.lay.edges.tolist()
         return [(i, j, a, b) for i, j, a, b in zip(cuts, cuts[1:], edges, edges[1:]) if j > i and b - a > 1]
 
-    def _windows(self, tokens: list[np.ndarray], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def _windows(self, tokens: list[np.ndarray], width: int, most: int, longer: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Inputs, starts, targets (-1: none) and places of each window, and the lanes'
-        states, which the caller replaces in place. Lanes that have ended drop out."""
+        states, which the caller replaces in place. Lanes that have ended drop out; the
+        windows of the others get up to `longer` times as long, so each has about as many tokens."""
         if not tokens:
             return
         sizes = np.array([len(t) for t in tokens], np.int64)
@@ -196,9 +207,11 @@ class Network:
         given[starts] = 0
         lane = np.cumsum(load) - load
         h = np.zeros((len(load), HIDDEN), np.float32)
-        for a in range(0, int(load[0]), width):
+        a = 0
+        while a < load[0]:
             n = int(np.searchsorted(-load, -a, "left"))
-            step = a + np.arange(min(width, int(load[0]) - a))[:, None]
+            step = a + np.arange(min(width * min(longer, len(load) // n), int(load[0]) - a))[:, None]
+            a += len(step)
             inside = step < load[:n]
             at = np.where(inside, lane[:n] + step, 0)
             yield given[at], starts[at] & inside, np.where(inside, flat[at], -1), place[at], h[:n]
@@ -206,7 +219,7 @@ class Network:
     def log_probabilities(self, tokens: list[np.ndarray], width: int = 32, most: int = 1024) -> np.ndarray:
         """Natural log-probability of every token, of its class only for a bucket."""
         out = np.zeros(sum(map(len, tokens)))
-        for x, s, y, place, h in self._windows(tokens, width, most):
+        for x, s, y, place, h in self._windows(tokens, width, most, LONGER):
             states, _ = self._window(h, x, s, False)
             h[:] = states[-1]
             have = y >= 0
@@ -272,6 +285,12 @@ class Network:
         """Adagrad, with each entry's mean gradient limited."""
         for k, g in grads.items():
             rows, g = g if isinstance(g, tuple) else (slice(None), g)
-            g = np.clip(g / n, -0.05, 0.05)
-            self.sums[k][rows] += g * g
-            self.p[k][rows] -= rate * g / np.sqrt(self.sums[k][rows])
+            g = g / n
+            np.clip(g, -0.05, 0.05, out=g)
+            sums = self.sums[k][rows]
+            sums += g * g
+            if not isinstance(rows, slice):
+                self.sums[k][rows] = sums
+            g *= rate
+            g /= np.sqrt(sums)
+            self.p[k][rows] -= g

@@ -148,3 +148,22 @@ def test_trees_come_to_a_node_once(spark, monkeypatch):
     monkeypatch.setattr(simhash, "cut", lambda df: sizes.append(df.count()) or common.cut(df))
     assert simhash.block_links(hot, nodes, alone, 61, 94, None).count() == 0
     assert sizes == [80]
+
+
+def test_few_lanes_are_scored_in_long_windows(monkeypatch):
+    """One long text among short ones takes few windows, and scores do not depend on that."""
+    counts = np.array([30, 50, 20, 10, 5, 5, 2, 2, 1])
+    lay = gru.layout(counts, 3)
+    net = gru.Network(lay, gru.init(lay, counts, np.arange(1, gru.BUCKETS + 1)))
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.integers(1, 9 + gru.BUCKETS, n), 0) for n in [3000, *[20] * 99]]
+    calls, window = [], net._window
+    monkeypatch.setattr(net, "_window", lambda h, x, *more: calls.append(x.shape) or window(h, x, *more))
+    got = net.log_probabilities(texts)
+    assert len(calls) <= 8 and max(a * b for a, b in calls) <= 32 * 100
+    monkeypatch.setattr(gru, "LONGER", 1)
+    calls.clear()
+    assert np.allclose(got, net.log_probabilities(texts), atol=1e-5) and len(calls) == 94
+    calls.clear()
+    net.learn(texts)  # in learning a window is a step, and steps are not made fewer
+    assert len(calls) == 188
